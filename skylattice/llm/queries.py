@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skylattice.llm import decontam, langid, simhash, tokens
+from skylattice.llm import decontam, langid, merkle, mixing, simhash, tokens
 from skylattice.llm.common import table
 
 
+def op1_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -28,11 +32,17 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_merkle": op1_merkle,
     "op3_simhash": op3_simhash,
     "op4_langid": op4_langid,
     "op5_decontam": op5_decontam,
     "op7_tokens": op7_tokens,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLES: dict[str, str] = {}
