@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skylattice.llm import decontam, langid, merkle, mixing, simhash, tokens
+from skylattice.llm import decontam, langid, merkle, mixing, pii, simhash, tokens
 from skylattice.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_langid": op4_langid,
     "op5_decontam": op5_decontam,
     "op7_tokens": op7_tokens,
+    "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
 }
 
