@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skylattice.llm import decontam, langid, merkle, mixing, pii, simhash, tokens
+from skylattice.llm import chat, decontam, langid, merkle, mixing, pii, simhash, tokens, warc
 from skylattice.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,14 +44,20 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_merkle": op1_merkle,
     "op3_simhash": op3_simhash,
     "op4_langid": op4_langid,
     "op5_decontam": op5_decontam,
+    "op6_chat": op6_chat,
     "op7_tokens": op7_tokens,
     "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {}
