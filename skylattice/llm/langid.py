@@ -173,3 +173,18 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return docs.select(
         F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), predict(F.col(text_col)).alias("p")
     ).select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+def identified(docs: DataFrame, min_gain: float = 1.2, text_col: str = "text", **columns) -> DataFrame:
+    """The documents whose language is known, all their columns kept.
+
+    Rejected are those without a letter, and those whose score isn't ``min_gain`` times the share that each language
+    would have if all were equally like the text. Nulls and ties: see ``identify``.
+    """
+    languages, prototypes = learn(docs, text_col=text_col, **columns)
+    if not languages:
+        return docs.where(F.col(text_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    least = min(1.0, min_gain / len(languages))
+    found = docs.withColumn("__language", predictor(languages, prototypes)(F.col(text_col)))
+    kept = (F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") >= least)
+    return found.where(kept).drop("__language")

@@ -106,3 +106,15 @@ def mix(
             (epochs * F.col("size") + F.greatest(F.lit(0), F.least("size", rest - F.col("ahead")))).cast("bigint").alias("taken"),
         )
     )
+
+
+def mixed(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that the mix takes words of, all their columns kept, with ``taken``.
+
+    Rows that repeat an id and size each get the most that any of them does. See ``mix``.
+    """
+    found = mix(docs, quality, id_col=id_col, text_col=text_col, **options)
+    taken = found.groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max("taken").alias("taken")).where("taken > 0")
+    rows = docs.drop("taken").withColumn("__own_size", size_of(F.col(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own_size") == F.col("__size"))
+    return rows.join(taken, same).drop("__id", "__size", "__own_size")

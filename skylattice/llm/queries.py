@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skylattice.llm import chat, decontam, langid, merkle, mixing, pii, simhash, tokens, warc
+from skylattice.llm import chat, decontam, html, langid, merkle, mixing, pii, simhash, tokens, warc
 from skylattice.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_merkle": op1_merkle,
+    "op2_html": op2_html,
     "op3_simhash": op3_simhash,
     "op4_langid": op4_langid,
     "op5_decontam": op5_decontam,

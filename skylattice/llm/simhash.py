@@ -111,6 +111,17 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _classes(prints: DataFrame, max_bits: int, segments: int, bucket_limit: int) -> DataFrame:
+    """``fp``, ``label`` and ``component_id`` of every fingerprint."""
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    found = connected_components(links(classes.select("fp"), max_bits, segments, bucket_limit))
+    member = classes.join(found, classes["fp"] == found["vertex"], "left").select(
+        "fp", "first_id", F.coalesce("label", "fp").alias("label")
+    )
+    least = member.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    return member.join(least, "label").select("fp", "label", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2, segments: int = 8, bucket_limit: int = 64
 ) -> DataFrame:
@@ -121,13 +132,29 @@ def near_duplicates(
     gives no rows; other columns are not looked at.
     """
     prints = cut(fingerprints(docs, id_col, text_col))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    found = connected_components(links(classes.select("fp"), max_bits, segments, bucket_limit))
-    member = classes.join(found, classes["fp"] == found["vertex"], "left").select(
-        "fp", "first_id", F.coalesce("label", "fp").alias("label")
-    )
-    least = member.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    members = member.join(least, "label").select("fp", "component_id")
+    members = _classes(prints, max_bits, segments, bucket_limit).select("fp", "component_id")
     return prints.join(members, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def deduplicated(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2, segments: int = 8, bucket_limit: int = 64
+) -> DataFrame:
+    """One document of each component, that with the smallest id, all its columns kept.
+
+    Of rows that repeat the smallest id, any one stays. Rows with a null id go if their component has an id, else any
+    one of the component stays.
+    """
+    prints = cut(fingerprints(docs, id_col, text_col))
+    members = cut(_classes(prints, max_bits, segments, bucket_limit))
+    kept = members.where("component_id is not null").select(F.col("component_id").alias("__kept")).distinct()
+    out = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
+    ids = prints.where("doc_id is not null").groupBy("doc_id").count()
+    if not ids.where("count > 1").isEmpty():
+        out = out.dropDuplicates([id_col])
+    if prints.where("doc_id is null").isEmpty():
+        return out
+    nameless = docs.where(F.col(id_col).isNull()).withColumn("__fp", simhash_column(F.col(text_col)))
+    alone = members.where("component_id is null").select(F.col("fp").alias("__fp"), F.col("label").alias("__label"))
+    return out.unionByName(nameless.join(alone, "__fp").dropDuplicates(["__label"]).drop("__fp", "__label"))
