@@ -1 +1,16 @@
 """A Spark-native engine for spatiotemporal catalog items."""
+
+from skylattice.operators.layout import to_item_collection, to_item_frame, to_item_texts, to_items, to_json_layout, to_table_layout
+from skylattice.operators.search import bbox_intersects, clustered, from_cql2, search
+from skylattice.session import session_defaults
+from skylattice.sources.items import from_items, from_table, item_texts, read_items
+from skylattice.sources.schema import InferredSchema, infer
+from skylattice.sources.sinks import read_item_parquet, sync_partitions, write_delta, write_item_lines, write_item_parquet
+
+__version__ = "0.1.0"
+
+__all__ = [
+    "InferredSchema", "bbox_intersects", "clustered", "from_cql2", "from_items", "from_table", "infer", "item_texts", "read_item_parquet", "read_items",
+    "search", "session_defaults", "sync_partitions", "to_item_collection", "to_item_frame", "to_item_texts", "to_items", "to_json_layout", "to_table_layout",
+    "write_delta", "write_item_lines", "write_item_parquet",
+]
