@@ -305,7 +305,7 @@ def train(spark: SparkSession, n: int = EXAMPLES) -> dict[str, Model]:
     df = spark.createDataFrame(rows, "i int, kind string, text string, label int").coalesce(1)
     text, found = F.col("text"), candidates(F.col("text"))
     at = F.when(F.col("kind") == "number", found["number"]).when(F.col("kind") == "contact", found["contact"]).otherwise(found["secret"])
-    got = df.withColumn("s", at[0]).where("s is not null").select("kind", "label", features(text, F.col("s")).alias("x")).collect()
+    got = df.withColumn("s", F.get(at, 0)).where("s is not null").select("kind", "label", features(text, F.col("s")).alias("x")).collect()
     _models[n] = {
         k: fit(np.array([r["x"] for r in got if r["kind"] == k]), np.array([r["label"] for r in got if r["kind"] == k], float)) for k in ADDED
     }

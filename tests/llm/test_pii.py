@@ -1,0 +1,86 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from skylattice.llm import pii
+from tests.llm.cases import DOCS, docs
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _luhn(d):
+    return sum(x - 9 if x > 9 else x for x in (int(c) * (1 + i % 2) for i, c in enumerate(reversed(d)))) % 10 == 0
+
+
+def _base(text):
+    out = []
+    for number, (kind, pattern) in enumerate(PLAIN.items()):
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")) or kind == "card" and not (14 <= len(d) <= 19 and _luhn(d)) or kind == "phone" and not 10 <= len(d) <= 15:
+                continue
+            out.append((m.start(), number, kind, m.end()))
+    return sorted(out)
+
+
+def _check(spark, texts):
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    for r in pii.personal_data(docs(spark, rows)).collect():
+        base = _base(texts[r["doc_id"]])
+        joined = ",".join(f"{k}:{a}:{b}" for a, _, k, b in base)
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest(), (texts[r["doc_id"]], r["spans"], joined)
+        assert [r[f"n_{k}"] for k in PLAIN] == [sum(x[2] == k for x in base) for k in PLAIN]
+        assert set(filter(None, joined.split(","))) <= set(r["spans"].split(","))
+
+
+def test_base_spans_of_random_texts(spark):
+    r = random.Random(6)
+    alphabet = list("ab_%@@..--  0123456789+(é😀\n") + ["4111111111111111", "4111 1111-1111 1111", "@a.b", "1.2.3.4", "+1 (234) 555-0000", "000255.1.1.1"]
+    _check(spark, ["".join(r.choices(alphabet, k=r.randrange(50))) for _ in range(1500)])
+
+
+def test_many_spans_and_runs(spark):
+    _check(spark, ["1.2.3.4 " * 1500, "a@b.c_d@e.f@g.h", "9" * 4000, "a" * 4000 + "@", "+" * 500 + "1 2345678901", None, "", "12.3.4.5.6.7.8.9"])
+
+
+def test_added_spans(spark):
+    texts = ["call me at 415-555-2671 today", "order 123456789 of today", "password=7602ad27cf5550de1c and so on", "password: required",
+             "write to jane (at) example (dot) com please", "look at example.org now", "isbn 9783161484100", "card 4111111111111111 of mine"]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs(spark, rows)).collect()}
+    assert [bool(got[i]) for i in range(8)] == [True, False, True, False, True, False, False, True]
+    assert got[0].startswith("number:11:") and got[7] == "card:5:21"
+
+
+def test_held_out_examples(spark):
+    models = pii.train(spark)
+    rows = [(i, *x) for i, x in enumerate(pii.examples(600, seed=77))]
+    found = pii.candidates(F.col("text"))
+    frame = spark.createDataFrame(rows, "i int, kind string, text string, label int")
+    for kind in pii.ADDED:
+        part = frame.where(F.col("kind") == kind).withColumn("s", F.get(found[kind], 0)).where("s is not null")
+        got = part.select("label", (models[kind].score(pii.features(F.col("text"), F.col("s"))) >= models[kind].threshold).alias("hit")).collect()
+        hits = [r["label"] for r in got if r["hit"]]
+        assert np.mean(hits) > 0.95 and len(hits) > 0.6 * sum(r["label"] for r in got)
+
+
+def test_redaction(spark):
+    rows = [(1, "mail a@b.cd or 1.2.3.4!", None, None, None), (2, None, None, None, None), (3, "clean text", None, None, None)]
+    got = {r["doc_id"]: r["text"] for r in pii.redact(docs(spark, rows)).collect()}
+    assert got == {1: "mail [EMAIL] or [IP]!", 2: None, 3: "clean text"}
+    assert pii.redact(docs(spark)).columns == docs(spark).columns
+
+
+def test_awkward_rows_without_python(spark):
+    out = pii.personal_data(docs(spark))
+    assert out.count() == len(DOCS) and pii.personal_data(docs(spark, [])).count() == 0
+    plan = out._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
