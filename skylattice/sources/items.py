@@ -116,7 +116,10 @@ def read_items(
     spark: SparkSession, paths: str | Iterable[str], form: str = "auto", schema: T.StructType | InferredSchema | None = None,
     strict: bool = True, limit: int | None = None, infer_limit: int | None = None,
 ) -> DataFrame:
-    """Items of JSON files in the JSON layout. ``limit``: so many items; ``infer_limit``: see ``parse_items``."""
+    """Items of JSON files in the JSON layout. ``limit``: so many items; ``infer_limit``: see ``parse_items``.
+
+    The schema is that of all items. With ``infer_limit`` it is that of the first ones, which the others must have.
+    """
     texts = item_texts(spark, paths, form)
     return parse_items(texts if limit is None else texts.limit(limit), schema, strict, infer_limit)
 
