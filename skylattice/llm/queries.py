@@ -65,8 +65,56 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
+_CHAT_SQL = r"""
+with recursive messages as (
+  select row_number() over () as rid, conv_id, turn, role, text, regexp_split_to_array(coalesce(text, ''), '\r?\n') as ls from conversations),
+places as (select rid, conv_id, turn, ls, unnest(range(1, len(ls) + 1)) as n from messages),
+marked as (select rid, conv_id, turn, n, ls[n] as line, regexp_extract(ls[n], '^[\x20\t]{0,3}(?:>[\x20\t]?)+') as marks from places),
+lines as (
+  select *, lead(level, 1, 0) over w as next_level, lag(level) over w as last_level
+  from (select rid, conv_id, turn, n, len(marks) - len(replace(marks, '>', '')) as level, substr(line, len(marks) + 1) as body from marked)
+  window w as (partition by rid order by n)),
+own as (
+  select * from lines where level = 0
+  and not (next_level > 0 and regexp_matches(body, '(?i)\bwrote:\s*$|\bschrieb.*:\s*$|\ba écrit\s*:\s*$|\bescribió:\s*$'))),
+runs as (
+  select *, sum(case when level is distinct from last_level then 1 else 0 end) over (partition by rid order by n) as run from lines),
+passages as (
+  select rid, conv_id, turn, run, level, string_agg(body, ' ' order by n) as whole, list(body order by n) as bodies
+  from runs where level > 0 group by rid, conv_id, turn, run, level),
+quoted as (
+  select distinct rid, conv_id, turn, run, level, unit from (
+    select rid, conv_id, turn, run, level, whole as raw, 1 as least from passages
+    union all select rid, conv_id, turn, run, level, unnest(bodies), 12 from passages),
+    lateral (select trim(lower(regexp_replace(raw, '\s+', ' ', 'g'))) as unit) where len(unit) >= least),
+said as (
+  select conv_id, unit, min(turn) as source from (
+    select conv_id, turn, string_agg(body, ' ' order by n) as raw, 1 as least from own group by rid, conv_id, turn
+    union all select conv_id, turn, body, 12 from own),
+    lateral (select trim(lower(regexp_replace(raw, '\s+', ' ', 'g'))) as unit) where len(unit) >= least group by conv_id, unit),
+met as (
+  select rid, q.conv_id, turn, run, level, len(unit) as chars, source from quoted q join said s using (conv_id, unit) where source < turn),
+scored as (select rid, conv_id, turn, level, source, sum(chars) as chars from met group by rid, conv_id, turn, level, source),
+links as (
+  select rid, conv_id, turn, arg_max(source, row(-level, chars, source)) as reply_to from scored group by rid, conv_id, turn),
+replies as (select conv_id, turn, max(reply_to) as reply_to from links group by conv_id, turn),
+walk as (
+  select conv_id, turn, reply_to as thread, cast(1 as bigint) as depth from replies
+  union all
+  select w.conv_id, w.turn, r.reply_to, w.depth + 1 from walk w join replies r on r.conv_id = w.conv_id and r.turn = w.thread),
+ends as (select conv_id, turn, arg_max(thread, depth) as thread, max(depth) as depth from walk group by conv_id, turn),
+texts as (select rid, regexp_replace(string_agg(body, chr(10) order by n), '^\s+|\s+$', '', 'g') as own from own group by rid),
+counts as (select rid, count(*) as n_quotes from passages group by rid),
+linked as (select rid, count(distinct run) as n_linked from met group by rid)
+select m.conv_id, case when l.rid is null then m.turn else e.thread end as thread, m.turn, case when l.rid is null then 0 else e.depth end as depth,
+  m.role, l.reply_to, case when c.rid is null then m.text else coalesce(t.own, '') end as text, coalesce(c.n_quotes, 0) as n_quotes,
+  coalesce(k.n_linked, 0) as n_linked
+from messages m left join links l using (rid) left join ends e on e.conv_id = m.conv_id and e.turn = m.turn left join texts t using (rid)
+left join counts c using (rid) left join linked k using (rid)"""
+
 #: SQL can't express the others: XXH64, trees, profiles, byte pair encoding and keys drawn from hashes.
 ORACLES: dict[str, str] = {
+    "op6_chat": _CHAT_SQL,
     "op10_warc": """
 select page_id, n as payload_bytes,
   list_aggregate(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(

@@ -1,6 +1,9 @@
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from skylattice.llm import chat
+from skylattice.llm.queries import ORACLES
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 ROWS = [
@@ -18,6 +21,11 @@ ROWS = [
 ]
 
 
+CHAIN = [(1, 0, "u", "message number 0 of this long chain")] + [
+    (1, i, "u", f"Ann wrote:\n> message number {i // 2} of this long chain\n\nmessage number {i} of this long chain\nthe same line each time") for i in range(1, 30)
+] + [(2, i, "u", "> the same line each time\r\nthe same line each time") for i in range(4)]
+
+
 def _rows(spark, rows):
     frame = spark.createDataFrame(rows, SCHEMA)
     return frame.withColumns({c: F.lit("?") for c in ("thread", "depth", "key", "own", "quotes", "lines", "n_linked")})
@@ -33,6 +41,15 @@ def test_threads(spark):
     assert got[1, 2]["n_quotes"] == 2 and got[1, 2]["n_linked"] == 2 and got[2, 0]["text"] is None
 
 
+@pytest.mark.parametrize("rows", [ROWS, CHAIN])
+def test_same_as_sql(spark, rows):
+    db = duckdb.connect()
+    db.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    db.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    got = chat.conversations(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, db.execute(ORACLES["op6_chat"]).fetchall()))
+
+
 def test_long_chain_and_repeats(spark):
     rows = [(1, 0, "u", "message number 0 of this long chain")]
     rows += [(1, i, "u", f"> message number {i - 1} of this long chain\nmessage number {i} of this long chain") for i in range(1, 40)]
