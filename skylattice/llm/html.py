@@ -35,6 +35,21 @@ RAW_TAGS = frozenset("script style noscript template iframe object svg math canv
 #: Elements that end when another block starts in them.
 ENDS_AT_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 dt dd".split())
 
+#: Elements and names that stand for what isn't main text.
+TAGS_BESIDE = {"before": ("nav", "header", "aside", "form"), "inside": ("aside", "aside", "form", "nav"), "after": ("footer", "aside", "nav", "form")}
+NAMES_BESIDE = {
+    "menu": ("menu", "nav", "navbar", "navigation", "topbar", "topnav", "breadcrumb", "breadcrumbs", "pagination", "toc"),
+    "edges": ("header", "footer", "banner", "masthead", "copyright", "contentinfo", "complementary", "bottom"),
+    "sidebar": ("sidebar", "widget", "related", "recommended", "more", "latest", "popular", "aside"),
+    "advert": ("ad", "ads", "advert", "advertisement", "sponsored", "sponsor", "promo", "promotion", "adslot"),
+    "notice": ("notice", "cookie", "cookies", "consent", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "disclaimer"),
+    "social": ("share", "social", "follow", "tags", "author", "meta"),
+    "comments": ("comments", "comment", "commentlist", "responses", "replies", "discussion", "disqus"),
+}
+_BESIDE = frozenset(x for names in NAMES_BESIDE.values() for x in names)
+#: Longer names are also known by their start, as in sidebarright.
+_STARTS = tuple(sorted(x for x in _BESIDE if len(x) >= 6))
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\x22']++|\x22[^\x22]*+(?:\x22|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)",
@@ -134,7 +149,9 @@ def blocks(page: str | None) -> list[Block]:
 
 @lru_cache(maxsize=1 << 14)
 def _structure(tag: str, path: tuple[str, ...]) -> tuple[str, ...]:
-    return (f"tag={tag}", *(f"in={x}" for x in path))
+    named = any(x[1:] in _BESIDE or x[1:].startswith(_STARTS) for x in path if x[0] == ".")
+    tagged = any(x in ("nav", "aside", "footer", "header", "form") for x in path)
+    return (f"tag={tag}", *(f"in={x}" for x in path), "a name beside" if named else "no name beside", "a tag beside" if tagged else "no tag beside")
 
 
 def features(page_blocks: list[Block]) -> list[tuple[tuple[str, ...], tuple[str, ...]]]:
@@ -200,7 +217,7 @@ class Crf:
         return labels[::-1]
 
 
-def fit(pages: list[list[tuple]], labels: list[list[int]], rounds: int = 60, rate: float = 0.5, penalty: float = 0.003) -> Crf:
+def fit(pages: list[list[tuple]], labels: list[list[int]], rounds: int = 70, rate: float = 0.5, penalty: float = 0.003) -> Crf:
     """Maximises the penalised conditional likelihood with forward-backward gradients and adaptive steps."""
     names: dict[str, int] = {}
     for page in pages:
@@ -242,7 +259,7 @@ def fit(pages: list[list[tuple]], labels: list[list[int]], rounds: int = 60, rat
 
 MAIN = "\x01"
 #: Labelled pages that the model is fitted to, and the seed of their generator.
-PAGES, SEED = 200, 11
+PAGES, SEED = 300, 11
 
 
 def labelled_page(r: random.Random) -> str:
@@ -283,50 +300,46 @@ def labelled_page(r: random.Random) -> str:
             return f"<p>{MAIN}{word().capitalize()}.</p>"
         return f"<p>{MAIN}{prose()}" + r.choice(["</p>", "</p>", "</p>", ""])
 
-    def inside() -> str:
-        """Furniture between the parts of an article."""
-        return r.choice(
-            [
-                f'<div class="ad">{prose(1, 2)}</div>', f'<div class="{r.choice(["share", "social", "share-buttons"])}">{links(3, " ")}</div>',
-                f'<aside class="{r.choice(["related", "promo", ""])}"><h3>{words(1, 3)}</h3><ul>{links(3)}</ul></aside>',
-                f'<div class="{r.choice(["newsletter", "subscribe", "notice", "advert", "sponsored"])}"><p>{prose(1, 2)}</p></div>',
-                f'<form><label>{words(1, 3)}</label><input name="q"><button>{word()}</button></form>',
-            ]
-        )
-
-    def before() -> str:
-        return r.choice(
+    def furniture(place: str) -> str:
+        """What isn't main text: by an element made for it, or by a name; its content is of any kind."""
+        content = r.choice(
             [
-                f"<nav><ul>{links(r.randint(3, 8))}</ul></nav>", f'<div class="{r.choice(["menu", "nav", "navbar", "topbar"])}">{links(4, " | ", "<a href=/x>{}</a>")}</div>',
-                f"<header><h1>{words(1, 3)}</h1><p>{words(2, 6)}</p></header>", f'<div id="header">{words(2, 4)}</div>',
-                f'<div class="{r.choice(["cookie-notice", "cookie", "banner", "notice", "alert", "consent"])}"><p>{prose(1, 2)}</p></div>',
-                f'<div class="{r.choice(["ad", "ads", "advert", "advertisement", "ad-slot", "promo"])}">{prose(1, 2)}</div>',
-                f'<div class="breadcrumb">{links(3, " &raquo; ", "<a href=/x>{}</a>")}</div>',
-                f'<form class="search"><input type="text"><label>{word()}</label></form>',
-            ]
-        )
-
-    def after() -> str:
-        comment = lambda: f'<{r.choice(["div", "li"])} class="comment"><span class="author">{word()}</span><p>{prose(1, 3)}</p></div>'
-        return r.choice(
-            [
-                f"<footer>&copy; {words(1, 3)} &middot; {prose(1, 1)}</footer>", f'<div class="{r.choice(["footer", "copyright", "site-footer"])}"><p>{prose(1, 2)}</p></div>',
-                f'<aside><h3>{words(1, 3)}</h3><p>{prose(1, 2)}</p><ul>{links(4)}</ul></aside>', f'<div class="{r.choice(["sidebar", "widget", "related"])}"><h4>{words(1, 2)}</h4>{prose(1, 2)}</div>',
-                f'<{"section"} class="{r.choice(["comments", "comment-list", "responses"])}" id="comments"><h3>{words(1, 2)}</h3>' + "".join(comment() for _ in range(r.randint(1, 4))) + "</section>",
-                f'<div class="{r.choice(["ad", "sponsored", "banner"])}">{prose(1, 2)}</div>',
+                lambda: f"<p>{prose(1, 3)}</p>", lambda: f"<h3>{words(1, 3)}</h3><p>{prose(1, 2)}</p>", lambda: prose(1, 2), lambda: f"<ul>{links(r.randint(2, 7))}</ul>",
+                lambda: f"<h4>{words(1, 3)}</h4><ul>{links(3)}</ul>", lambda: links(r.randint(2, 6), r.choice([" ", " | ", " &raquo; "]), "<a href=/x>{}</a>"),
+                lambda: f"<div>{prose(1, 2)}</div>", lambda: f"<span>{words(1, 4)}</span>",
             ]
         )
+        kind = r.random()
+        if kind < 0.35:
+            tag = r.choice(TAGS_BESIDE[place])
+            if tag == "form":
+                return f"<form><label>{words(1, 4)}</label><p>{prose(1, 2)}</p><input name=q><button>{word()}</button></form>"
+            return f"<{tag}>{content()}</{tag}>"
+        if kind < 0.5 and place != "before":
+            comment = lambda: f'<div class="{r.choice(["comment", "reply", "comment-body", ""])}"><span class="author">{word()}</span><p>{prose(1, 3)}</p></div>'
+            name = r.choice(NAMES_BESIDE["comments"])
+            tag = r.choice(["section", "div", "ol"])
+            return f'<{tag} class="{name}"><h3>{words(1, 2)}</h3>' + "".join(comment() for _ in range(r.randint(1, 4))) + f"</{tag}>"
+        if kind < 0.6 and place == "after":
+            return f'<footer>&copy; {words(1, 3)} &middot; {prose(1, 1)}</footer>'
+        name = r.choice(NAMES_BESIDE[r.choice([k for k in NAMES_BESIDE if k != "comments"])])
+        name = r.choice(["site-", "page-", "top-", "", "", ""]) + name + r.choice(["-box", "-wrapper", "-1", "", "", ""])
+        tag = r.choice(["div", "div", "div", "section", "p"])
+        how = r.choice(["class", "class", "id", "role"])
+        return f'<{tag} {how}="{name}">{prose(1, 2) if tag == "p" else content()}</{tag}>'
 
     opening, closing = r.choice(
         [("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main">', "</div>"),
-         ('<div class="post-body entry">', "</div>"), ("<main><article>", "</article></main>"), ('<div class="article-text">', "</div>"), ("<div>", "</div>")]
+         ('<div class="post-body entry">', "</div>"), ("<main><article>", "</article></main>"), ('<div class="article-text">', "</div>"), ("<div>", "</div>"),
+         ('<div role="main">', "</div>"), ('<section class="post"><div class="post-content">', "</div></section>"), ('<div class="wrap"><div class="body story">', "</div></div>"), ("", "")]
     )
-    body = [f"<h1>{MAIN}{words(2, 9)}{r.choice(['', '.', '&amp;'])}</h1>"] + [main_block() for _ in range(r.randint(1, 12))]
-    for _ in range(r.choice([0, 0, 0, 1, 2])):
-        body.insert(r.randint(1, len(body)), inside())
+    body = [f"<h1>{MAIN}{words(1, 9)}{r.choice(['', '.', '&amp;'])}</h1>"] * r.choice([0, 1, 1, 1]) + [main_block() for _ in range(r.randint(1, 12))]
+    for _ in range(r.choice([0, 0, 1, 2, 3])):
+        body.insert(r.randint(1, len(body)), furniture("inside"))
     head = f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{words(2, 8)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>'
-    page = head + "".join(before() for _ in range(r.randint(1, 4))) + opening + "".join(body) + closing + "".join(after() for _ in range(r.randint(1, 4)))
-    return page + r.choice(["</body></html>", ""])
+    most = r.choice([0, 2, 4, 4])
+    before, after = ("".join(furniture(place) for _ in range(r.randint(0, most))) for place in ("before", "after"))
+    return r.choice([head, head, ""]) + before + opening + "".join(body) + closing + after + r.choice(["</body></html>", ""])
 
 
 @lru_cache(maxsize=1)
