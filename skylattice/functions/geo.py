@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import math
 import struct
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -61,7 +62,10 @@ def _encode(geometry: dict, z: bool, out: list[bytes]) -> None:
     width, coordinates = 2 + z, geometry.get("coordinates") or []
 
     def positions(line) -> None:
-        flat = [float(v) for p in line for v in (*p[:width], *[0.0] * (width - len(p)))]
+        if set(map(len, line)) <= {width}:
+            flat = [*chain.from_iterable(line)]
+        else:  # positions of several lengths
+            flat = [v for p in line for v in (*p[:width], *[0.0] * (width - len(p)))]
         out.append(struct.pack(f"<I{len(flat)}d", len(line), *flat))
 
     if kind == "Point":
@@ -81,8 +85,10 @@ def _encode(geometry: dict, z: bool, out: list[bytes]) -> None:
 
 
 class _Reader:
-    def __init__(self, data: bytes):
-        self.data, self.at, self.order = data, 0, "<"
+    """Reads a geometry. With ``boxes``, only the boxes of its runs of positions are kept, and no coordinates."""
+
+    def __init__(self, data: bytes, boxes: list | None = None):
+        self.data, self.at, self.order, self.boxes = data, 0, "<", boxes
 
     def take(self, form: str) -> tuple:
         form = self.order + form
@@ -109,10 +115,17 @@ class _Reader:
         def positions() -> list:
             (n,) = self.take("I")
             flat = self.take(f"{n * width}d")
+            if self.boxes is not None:
+                xs, ys = flat[::width], flat[1::width]
+                if n:
+                    self.boxes.append((min(xs), min(ys), max(xs), max(ys)))
+                return []
             return [list(flat[i : i + width]) for i in range(0, len(flat), width)]
 
         if kind == "Point":
             values = list(self.take(f"{width}d"))
+            if self.boxes is not None and not math.isnan(values[0]):
+                self.boxes.append((values[0], values[1], values[0], values[1]))
             return kind, [] if all(map(math.isnan, values)) else values
         if kind == "LineString":
             return kind, positions()
@@ -136,31 +149,17 @@ def decode(data: bytes | None) -> dict | None:
 
 def bounds(data: bytes | None) -> tuple[float, float, float, float] | None:
     """(xmin, ymin, xmax, ymax); None for null and empty geometries."""
-    xs: list[float] = []
-    ys: list[float] = []
-
-    def walk(x) -> None:
-        if x and not isinstance(x[0], (list, tuple)):
-            xs.append(x[0])
-            ys.append(x[1])
-        else:
-            for part in x:
-                walk(part)
-
-    def geometry(kind: str, content) -> None:
-        if kind == "GeometryCollection":
-            for member in content:
-                geometry(*member)
-        else:
-            walk(content)
-
-    if data is not None:
-        geometry(*_Reader(bytes(data)).geometry())
-    return (min(xs), min(ys), max(xs), max(ys)) if xs else None
+    if data is None:
+        return None
+    boxes: list[tuple[float, float, float, float]] = []
+    _Reader(bytes(data), boxes).geometry()
+    if not boxes:
+        return None
+    west, south, east, north = zip(*boxes)
+    return min(west), min(south), max(east), max(north)
 
 
-def _json(x) -> str:
-    return json.dumps(x, separators=(",", ":"))
+_dumps = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False).encode
 
 
 @F.arrow_udf(T.BinaryType())
@@ -172,7 +171,7 @@ def wkb_from_geojson(texts: pa.Array) -> pa.Array:
 @F.arrow_udf(T.StringType())
 def geojson_from_wkb(data: pa.Array) -> pa.Array:
     """Column of WKB to GeoJSON texts."""
-    return pa.array([None if d is None else _json(decode(d)) for d in data.to_pylist()], pa.string())
+    return pa.array([None if d is None else _dumps(decode(d)) for d in data.to_pylist()], pa.string())
 
 
 _BOUNDS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("xmin", "ymin", "xmax", "ymax")])
