@@ -16,7 +16,7 @@ def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.driver.memory", "4g")
-        # Small tables and many plans: compiling less thoroughly halves the time.
+        # Small tables and many plans, so the first compiler stage will do.
         .config("spark.driver.extraJavaOptions", "-XX:TieredStopAtLevel=1")
         .config("spark.sql.shuffle.partitions", "2")
         .config("spark.sql.session.timeZone", "UTC")
