@@ -1,0 +1,174 @@
+"""Near duplicates by resemblance: documents whose sets of five-word shingles are at least 0.8 alike (Jaccard).
+
+A text is lower-cased (A-Z only) and cut into words; its set holds the XXH64 hashes of all runs of five words, or of the
+whole text where it has fewer. 64-bit SimHash can't be searched at this likeness: about ten bits differ then. So the
+candidates come from MinHash: ``BANDS`` keys of ``ROWS`` minima each, of which a pair that is 0.8 alike shares one with
+probability 1 - (1 - 0.8^5)^20 = 0.9996. Every candidate pair is then checked by the shingle sets themselves, and
+documents reachable over pairs that pass form a component.
+
+Keys under which more than ``bucket_limit`` texts meet aren't paired out. Some of their texts are taken as leads, more
+each round, and all texts of the key are checked against the leads; those alike to one leave. As 1 - likeness is a metric,
+a text can be alike to one that left with a lead only if it is 0.6 alike to that lead, and not much farther from it;
+such pairs are checked too where they aren't connected yet. So the same components result as if all pairs were formed.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from skylattice.llm.common import connected_components, cut
+from skylattice.llm.simhash import kept_rows
+
+WORDS, ALIKE, BANDS, ROWS = 5, 0.8, 20, 5
+SEED = 42
+#: Pairs of one text that are checked in one task, about.
+_PAIRS = 256
+_CHUNK = 1 << 10
+_random = np.random.default_rng(SEED)
+_XOR = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
+_ODD = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+_NUMBERS = _random.integers(0, 1 << 64, BANDS, np.uint64)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The text's set of shingle hashes, sorted; empty without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
+    if len(words) <= WORDS:
+        return np.array([digest(joined, SEED)], np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    first, last = (ends - sizes)[: 1 - WORDS].tolist(), ends[WORDS - 1 :].tolist()
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(first, last)], np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """The keys under which a set is looked for."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(hashes), _CHUNK):
+            least = np.minimum(least, ((hashes[at : at + _CHUNK, None] ^ _XOR) * _ODD).min(0))
+    rows = least.reshape(BANDS, ROWS).astype(">u8")
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), int(n)) for r, n in zip(rows, _NUMBERS)], np.uint64).view(np.int64)
+
+
+_SKETCH = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+
+
+@F.pandas_udf(_SKETCH)
+def _sketch(texts: pd.Series) -> pd.DataFrame:
+    sets = [shingles(t) for t in texts]
+    return pd.DataFrame({"n": np.array([len(s) for s in sets], "int32"), "keys": [band_keys(s) for s in sets]})
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _shingles(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingles(t).view(np.int64) for t in texts], dtype=object)
+
+
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _sizes_fit(a: str, b: str, alike: float) -> Column:
+    return F.least(a, b) >= F.lit(alike) * F.greatest(a, b)
+
+
+def likeness(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``u``, ``v`` (text keys) and ``alike``, the exact Jaccard likeness of their sets; two empty sets are alike."""
+    # A text with many pairs is dealt over several tasks.
+    parts = pairs.groupBy("u").agg(F.ceil(F.count("*") / _PAIRS).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
+    ours = sets.join(parts, sets["tk"] == parts["u"]).select(
+        "u", F.col("set").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    )
+    both = dealt.join(ours, ["u", "part"]).join(sets.select(F.col("tk").alias("v"), F.col("set").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.select("u", "v", F.size("a").alias("m"), F.size("b").alias("n"), common.alias("common")).select(
+        "u", "v", F.when((F.col("m") == 0) & (F.col("n") == 0), 1.0).otherwise(F.col("common") / (F.col("m") + F.col("n") - F.col("common"))).alias("alike")
+    )
+
+
+def _all_pairs(rows: DataFrame, alike: float) -> DataFrame:
+    a, b = (rows.select("key", F.col("tk").alias(x), F.col("n").alias(f"n_{x}")) for x in "uv")
+    return a.join(b, "key").where((F.col("u") < F.col("v")) & _sizes_fit("n_u", "n_v", alike)).select("u", "v")
+
+
+def links(classes: DataFrame, docs: DataFrame, text_col: str, alike: float = ALIKE, bucket_limit: int = 64) -> DataFrame:
+    """Links (``u``, ``v``) that join the same text keys as all candidate pairs at least ``alike`` alike.
+
+    ``classes``: ``tk``, ``n`` (size of the set) and ``keys`` of every distinct text.
+    """
+    rows = classes.select("tk", "n", F.explode("keys").alias("key"))
+    met = cut(rows.groupBy("key").agg(F.count("*").alias("met")).where("met > 1"))
+    several = cut(rows.join(met, "key"))
+    texts = docs.select(_text_key(F.col(text_col)).alias("tk"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts.join(several.select("tk").distinct(), "tk", "left_semi").groupBy("tk").agg(F.min("text").alias("text"))
+    sets = cut(texts.select("tk", _shingles("text").alias("set")))
+
+    def alike_in(few: DataFrame) -> DataFrame:
+        return likeness(_all_pairs(few, alike).distinct(), sets).where(F.col("alike") >= alike).select("u", "v")
+
+    found = alike_in(several.where(F.col("met") <= bucket_limit))
+    crowd, placed, n_leads = cut(several.where(F.col("met") > bucket_limit)), None, 4
+    # Where a text isn't so much alike to a lead, nothing alike to the lead is alike to it.
+    far = 1 - 2 * (1 - alike)
+    while not crowd.isEmpty():
+        least = crowd.groupBy("key").agg(F.min("tk").alias("tk"))
+        drawn = crowd.where(F.pmod(F.xxhash64("tk", F.lit(n_leads)), F.col("met")) < n_leads).select("key", "tk")
+        leads = cut(least.unionByName(drawn).distinct().join(crowd, ["key", "tk"]).select("key", F.col("tk").alias("lead"), F.col("n").alias("n_lead")))
+        stars = cut(crowd.join(leads, "key").where((F.col("tk") != F.col("lead")) & _sizes_fit("n", "n_lead", far)).select("key", "lead", "tk"))
+        scored = likeness(stars.select(F.col("lead").alias("u"), F.col("tk").alias("v")).distinct(), sets).where(F.col("alike") >= far)
+        new = cut(stars.join(scored.withColumnsRenamed({"u": "lead", "v": "tk"}), ["lead", "tk"]).select("key", "lead", "tk", "alike"))
+        placed = new if placed is None else placed.unionByName(new)
+        gone = new.where(F.col("alike") >= alike).select("key", "tk").unionByName(leads.select("key", F.col("lead").alias("tk"))).distinct()
+        left = crowd.drop("met").join(gone, ["key", "tk"], "left_anti")
+        left = cut(left.join(left.groupBy("key").agg(F.count("*").alias("met")), "key"))
+        found = found.unionByName(alike_in(left.where(F.col("met").between(2, bucket_limit))))
+        crowd, n_leads = cut(left.where(F.col("met") > bucket_limit)), n_leads * 4
+    if placed is None:
+        return found
+    found = cut(found.unionByName(placed.where(F.col("alike") >= alike).select(F.col("lead").alias("u"), F.col("tk").alias("v"))).distinct())
+    near = placed.where(F.col("alike") < alike)
+    if near.isEmpty():
+        return found
+    labels = cut(connected_components(found)).select(F.col("vertex").alias("tk"), F.col("label").alias("in"))
+
+    def labelled(part: DataFrame, name: str) -> DataFrame:
+        return part.join(labels, "tk", "left").select(
+            "key", "lead", F.col("tk").alias(name), F.coalesce("in", "tk").alias(f"in_{name}"), F.col("alike").alias(f"alike_{name}")
+        )
+
+    # A text in the component of the lead is connected to the lead's others.
+    heads = labels.select(F.col("tk").alias("lead"), F.col("in").alias("in_lead"))
+    apart = labelled(near, "y").join(heads, "lead", "left").where(F.col("in_y") != F.coalesce("in_lead", "lead"))
+    cross = apart.join(labelled(placed.where(F.col("alike") >= alike), "x"), ["key", "lead"]).where(
+        F.col("alike_x") <= F.col("alike_y") + (1 - alike) + 1e-9
+    )
+    cross = cut(cross.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
+    return found.unionByName(likeness(cross, sets).where(F.col("alike") >= alike).select("u", "v"))
+
+
+def deduplicated(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: float = ALIKE, bucket_limit: int = 64
+) -> DataFrame:
+    """One document of each component, that with the smallest id, all its columns kept.
+
+    Texts without words are alike. Of rows that repeat the smallest id, any one stays. Rows with a null id go if their
+    component has an id, else any one of the component stays.
+    """
+    prints = docs.select(F.col(id_col).alias("doc_id"), _text_key(F.col(text_col)).alias("tk"), _sketch(F.col(text_col)).alias("s"))
+    prints = cut(prints.select("doc_id", "tk", "s.n", "s.keys"))
+    classes = cut(prints.groupBy("tk").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    found = connected_components(links(classes, docs, text_col, alike, bucket_limit))
+    member = classes.join(found, classes["tk"] == found["vertex"], "left").select("tk", "first_id", F.coalesce("label", "tk").alias("label"))
+    least = member.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    members = cut(member.join(least, "label").select(F.col("tk").alias("fp"), "label", "component_id"))
+    return kept_rows(docs, prints.select("doc_id"), members, _text_key(F.col(text_col)), id_col)

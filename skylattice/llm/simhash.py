@@ -148,6 +148,11 @@ def deduplicated(
     """
     prints = cut(fingerprints(docs, id_col, text_col))
     members = cut(_classes(prints, max_bits, segments, bucket_limit))
+    return kept_rows(docs, prints, members, simhash_column(F.col(text_col)), id_col)
+
+
+def kept_rows(docs: DataFrame, prints: DataFrame, members: DataFrame, key: Column, id_col: str) -> DataFrame:
+    """The rows of ``docs`` that stay: ``prints`` has their ids, ``members`` the component of each ``fp``, ``key`` makes it."""
     kept = members.where("component_id is not null").select(F.col("component_id").alias("__kept")).distinct()
     out = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
     ids = prints.where("doc_id is not null").groupBy("doc_id").count()
@@ -155,6 +160,6 @@ def deduplicated(
         out = out.dropDuplicates([id_col])
     if prints.where("doc_id is null").isEmpty():
         return out
-    nameless = docs.where(F.col(id_col).isNull()).withColumn("__fp", simhash_column(F.col(text_col)))
+    nameless = docs.where(F.col(id_col).isNull()).withColumn("__fp", key)
     alone = members.where("component_id is null").select(F.col("fp").alias("__fp"), F.col("label").alias("__label"))
     return out.unionByName(nameless.join(alone, "__fp").dropDuplicates(["__label"]).drop("__fp", "__label"))

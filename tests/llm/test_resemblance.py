@@ -1,0 +1,58 @@
+import random
+
+import pytest
+
+import corpus_pipeline
+from skylattice.llm import resemblance
+from tests.llm.cases import docs
+
+
+def _alike(a, b):
+    x, y = (set(resemblance.shingles(t).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _kept(texts, alike=0.8):
+    """The ids that stay, by all pairs."""
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if _alike(texts[i], texts[j]) >= alike:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return sorted({find(i) for i in range(len(texts))})
+
+
+def _edited(r, words, n):
+    words = list(words)
+    for i in r.sample(range(len(words)), n):
+        words[i] = f"e{r.randrange(10**9)}"
+    return " ".join(words)
+
+
+def test_stage_removes_near_copies_at_080(spark):
+    r, texts = random.Random(5), []
+    for _ in range(12):
+        words = [f"w{r.randrange(5000)}" for _ in range(200)]
+        texts += [" ".join(words), _edited(r, words, 4), _edited(r, words, 25)]
+    assert all(0.8 <= _alike(texts[i], texts[i + 1]) < 0.9 and _alike(texts[i], texts[i + 2]) < 0.6 for i in range(0, 36, 3))
+    rows = docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts)], clash=False)
+    got = sorted(x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, rows, "").collect())
+    assert got == _kept(texts) == [i for i in range(36) if i % 3 != 1]
+
+
+@pytest.mark.parametrize("limit", [8])
+def test_crowded_keys_against_all_pairs(spark, limit):
+    r = random.Random(7)
+    words = [f"w{r.randrange(5000)}" for _ in range(120)]
+    texts = [" ".join(words)] + [_edited(r, words, r.choice([1, 2, 3, 4, 5])) for _ in range(20)] + ["", "  ", "one", "One"]
+    r.shuffle(texts)
+    rows = docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    got = sorted(x["doc_id"] for x in resemblance.deduplicated(rows, bucket_limit=limit).collect())
+    assert got == _kept(texts)
