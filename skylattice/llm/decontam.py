@@ -3,10 +3,11 @@
 Texts are cut into runs of ASCII letters, digits and all characters beyond ASCII. Numbers, names and units become
 typed placeholders, other tokens are lower-cased (up to U+00DE); what a placeholder replaces is its slot's value. So a
 question asked again with other numbers, people or units has the same template. Windows of ``window`` template tokens are hashed and joined with the benchmark's windows.
-For each document and item the windows matched at one distance are then checked for slot consistency: one benchmark
-value must always stand for one document value of the same type, and no two benchmark values for the same one. Of a
-match that breaks this, only the windows with the item's own values count. The document is contaminated if the windows
-that count cover enough of the item.
+For each document and item the windows matched at one distance are one match. Its slots are then checked: a name or unit
+of the item must stand for one value, and two for different ones; where readings compete, the one of more places holds.
+Numbers are drawn anew and may be equal or differ by chance, so they are free. If most named places (``MIN_HELD``) hold,
+windows with another place don't count unless they have the item's own values; else only windows with the item's own
+values count. The document is contaminated if the windows that count cover enough of the item.
 
 A name is a token that starts with a capital and isn't the first of a sentence, nor written in capitals throughout. A
 unit is a known unit right after a number.
@@ -14,6 +15,7 @@ unit is a known unit right after a number.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,8 @@ from skylattice.llm.common import cut
 WINDOW = 8
 #: A document has an item if consistent windows cover this share of the item's windows, and so many of them.
 MIN_SHARE, MIN_WINDOWS = 0.25, 3
+#: Of the places of names and units in a match, so many must fit one reading.
+MIN_HELD = 2 / 3
 #: A window needs so many tokens that aren't placeholders.
 MIN_LITERAL = 4
 #: Up to so many benchmark windows, their hashes go to every task and other windows of the documents are dropped there;
@@ -178,8 +182,9 @@ def _rows(idents: list, texts: list, size: int, wanted: np.ndarray | None) -> It
         same &= literal[hits + size] - literal[hits] >= MIN_LITERAL
         first_token = np.searchsorted(t.starts, np.concatenate([[0], borders]))
         for i, o in zip(hits[same].tolist(), owner[same].tolist()):
-            slots = [f"{_KINDS[t.kinds[k]]}={t.value(k)}" for k in range(i, i + size) if t.kinds[k] >= 0]
-            yield idents[first + o], i - int(first_token[o]), int(hashes[i].astype(np.int64)), slots
+            places = [k for k in range(i, i + size) if t.kinds[k] >= 0]
+            slots = [f"{_KINDS[t.kinds[k]]}={t.value(k)}" for k in places]
+            yield idents[first + o], i - int(first_token[o]), int(hashes[i].astype(np.int64)), slots, [k - i for k in places]
 
 
 def _schema(ident: str) -> T.StructType:
@@ -189,6 +194,7 @@ def _schema(ident: str) -> T.StructType:
             T.StructField("at", T.IntegerType()),
             T.StructField("hash", T.LongType()),
             T.StructField("slots", T.ArrayType(T.StringType())),
+            T.StructField("places", T.ArrayType(T.IntegerType())),
         ]
     )
 
@@ -241,36 +247,51 @@ def _short_sizes(benchmark: DataFrame, item_col: str, item_text: str, window: in
     return [r["n"] for r in counted.distinct().collect()]
 
 
+def counted(found: list[tuple]) -> tuple[list[int], list[int]]:
+    """Places of the windows of a match that count, and of those with the item's own values.
+
+    ``found``: place, whether the values are the item's own, the item's slots, the document's, and the slots' places.
+    """
+    named = {(at, a, b) for _, _, ours, theirs, places in found for a, b, at in zip(ours, theirs, places) if not a.startswith("number=")}
+    votes = Counter((a, b) for _, a, b in named)
+    held, taken = {}, set()
+    for (a, b), _ in sorted(votes.items(), key=lambda x: (-x[1], x[0])):
+        if a not in held and b not in taken:
+            held[a] = b
+            taken.add(b)
+    fits = sum(held.get(a) == b for _, a, b in named) >= MIN_HELD * len(named)
+    right = lambda ours, theirs: all(a.startswith("number=") or held.get(a) == b for a, b in zip(ours, theirs))
+    own = {x[0] for x in found if x[1]}
+    return sorted(own | {x[0] for x in found if fits and right(x[2], x[3])}), sorted(own)
+
+
+_COUNTED = T.StructType([T.StructField(x, T.ArrayType(T.IntegerType())) for x in ("windows", "own")])
+
+
+@F.pandas_udf(_COUNTED)
+def _counted(matches: pd.Series) -> pd.DataFrame:
+    keys = ("item_at", "own", "a", "b", "at")
+    return pd.DataFrame([counted([tuple(w[k] for k in keys) for w in m]) for m in matches], columns=["windows", "own"])
+
+
 def _matched(docs, own, window, min_share, min_windows, id_col, text_col) -> DataFrame:
     hashes = own.select("hash").distinct()
     wanted = None
     if hashes.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         wanted = np.sort(np.array([r[0] for r in hashes.collect()], np.int64).view(np.uint64))
-    theirs = windows(docs, id_col, text_col, "doc_id", window, wanted)
-    met = theirs.withColumnRenamed("at", "doc_at").withColumnRenamed("slots", "doc_slots").join(
-        own.withColumnRenamed("at", "item_at").withColumnRenamed("slots", "item_slots"), "hash"
-    )
-    pairs = met.select(
-        "doc_id", "item_id", "item_at",
-        F.arrays_zip(F.col("item_slots").alias("a"), F.col("doc_slots").alias("b")).alias("pairs"), "doc_at",
+    theirs = windows(docs, id_col, text_col, "doc_id", window, wanted).drop("places")
+    met = theirs.withColumnsRenamed({"at": "doc_at", "slots": "doc_slots"}).join(
+        own.withColumnsRenamed({"at": "item_at", "slots": "item_slots", "places": "item_places"}), "hash"
     )
-    one_to_one = (F.size(F.array_distinct("pairs")) == F.size(F.array_distinct("pairs.a"))) & (
-        F.size(F.array_distinct("pairs")) == F.size(F.array_distinct("pairs.b"))
-    )
-    kept = pairs.where(one_to_one)
     # A copy of the item lies at one distance from the item's start: windows with the same distance are one match.
-    match = kept.withColumn("shift", F.col("doc_at") - F.col("item_at")).withColumn(
-        "own_values", F.forall("pairs", lambda p: p["a"] == p["b"])
-    )
-    runs = match.groupBy("doc_id", "item_id", "shift").agg(
-        F.countDistinct("item_at").alias("n_all"),
-        F.countDistinct(F.when(F.col("own_values"), F.col("item_at"))).alias("n_own"),
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots"),
+    window_of = F.struct(
+        "item_at", (F.col("item_slots") == F.col("doc_slots")).alias("own"), F.col("item_slots").alias("a"), F.col("doc_slots").alias("b"),
+        F.transform("item_places", lambda x: x + F.col("item_at")).alias("at"),
     )
-    whole = (F.size("slots") == F.size(F.array_distinct("slots.a"))) & (F.size("slots") == F.size(F.array_distinct("slots.b")))
+    runs = met.groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(_counted(F.collect_set(window_of)).alias("c"))
     counts = own.groupBy("item_id").agg(F.countDistinct("at").alias("n_windows"))
     scored = (
-        runs.withColumn("n_matched", F.when(whole, F.col("n_all")).otherwise(F.col("n_own")))
+        runs.select("doc_id", "item_id", F.size("c.windows").alias("n_matched"), F.size("c.own").alias("n_own"))
         .withColumn("exact", F.col("n_matched") == F.col("n_own"))
         .groupBy("doc_id", "item_id")
         .agg(F.max(F.struct("n_matched", "exact")).alias("best"))
