@@ -7,7 +7,8 @@ For each document and item the windows matched at one distance are one match. It
 of the item must stand for one value, and two for different ones; where readings compete, the one of more places holds.
 Numbers are drawn anew and may be equal or differ by chance, so they are free. If most named places (``MIN_HELD``) hold,
 windows with another place don't count unless they have the item's own values; else only windows with the item's own
-values count. The document is contaminated if the windows that count cover enough of the item.
+values count. The document is contaminated if the windows that count, over all distances, cover enough of the item, or if
+some in a row make up a passage of ``MIN_RUN`` tokens.
 
 A name is a token that starts with a capital and isn't the first of a sentence, nor written in capitals throughout. A
 unit is a known unit right after a number.
@@ -29,6 +30,8 @@ from skylattice.llm.common import cut
 WINDOW = 8
 #: A document has an item if consistent windows cover this share of the item's windows, and so many of them.
 MIN_SHARE, MIN_WINDOWS = 0.25, 3
+#: Also if so many consecutive tokens of an item are matched, however long it is.
+MIN_RUN = 13
 #: Of the places of names and units in a match, so many must fit one reading.
 MIN_HELD = 2 / 3
 #: A window needs so many tokens that aren't placeholders.
@@ -214,7 +217,7 @@ def windows(rows: DataFrame, id_col: str, text_col: str, ident: str, window: int
 
 def matches(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE,
-    min_windows: int = MIN_WINDOWS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    min_windows: int = MIN_WINDOWS, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """Contaminated pairs: ``doc_id``, ``item_id``, ``n_windows`` (the item's), ``n_matched``, ``share``, ``exact``.
 
@@ -230,7 +233,7 @@ def matches(
         if size < window:
             own = own.join(own.groupBy("item_id").agg(F.max("at").alias("most")).where("most = 0").select("item_id"), "item_id")
         own = cut(own)
-        part = _matched(docs, own, size, min_share, min_windows if size == window else 1, id_col, text_col)
+        part = _matched(docs, own, size, min_share, min_windows if size == window else 1, min_run, id_col, text_col)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -247,8 +250,8 @@ def _short_sizes(benchmark: DataFrame, item_col: str, item_text: str, window: in
     return [r["n"] for r in counted.distinct().collect()]
 
 
-def counted(found: list[tuple]) -> tuple[list[int], list[int]]:
-    """Places of the windows of a match that count, and of those with the item's own values.
+def counted(found: list[tuple]) -> tuple[list[int], list[int], int]:
+    """Places of the windows of a match that count, of those with the item's own values, and how many count in a row.
 
     ``found``: place, whether the values are the item's own, the item's slots, the document's, and the slots' places.
     """
@@ -262,19 +265,24 @@ def counted(found: list[tuple]) -> tuple[list[int], list[int]]:
     fits = sum(held.get(a) == b for _, a, b in named) >= MIN_HELD * len(named)
     right = lambda ours, theirs: all(a.startswith("number=") or held.get(a) == b for a, b in zip(ours, theirs))
     own = {x[0] for x in found if x[1]}
-    return sorted(own | {x[0] for x in found if fits and right(x[2], x[3])}), sorted(own)
+    count = sorted(own | {x[0] for x in found if fits and right(x[2], x[3])})
+    run = longest = 0
+    for i, at in enumerate(count):
+        run = run + 1 if i and count[i - 1] == at - 1 else 1
+        longest = max(longest, run)
+    return count, sorted(own), longest
 
 
-_COUNTED = T.StructType([T.StructField(x, T.ArrayType(T.IntegerType())) for x in ("windows", "own")])
+_COUNTED = T.StructType([*(T.StructField(x, T.ArrayType(T.IntegerType())) for x in ("windows", "own")), T.StructField("run", T.IntegerType())])
 
 
 @F.pandas_udf(_COUNTED)
 def _counted(matches: pd.Series) -> pd.DataFrame:
     keys = ("item_at", "own", "a", "b", "at")
-    return pd.DataFrame([counted([tuple(w[k] for k in keys) for w in m]) for m in matches], columns=["windows", "own"])
+    return pd.DataFrame([counted([tuple(w[k] for k in keys) for w in m]) for m in matches], columns=["windows", "own", "run"])
 
 
-def _matched(docs, own, window, min_share, min_windows, id_col, text_col) -> DataFrame:
+def _matched(docs, own, window, min_share, min_windows, min_run, id_col, text_col) -> DataFrame:
     hashes = own.select("hash").distinct()
     wanted = None
     if hashes.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
@@ -290,17 +298,19 @@ def _matched(docs, own, window, min_share, min_windows, id_col, text_col) -> Dat
     )
     runs = met.groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(_counted(F.collect_set(window_of)).alias("c"))
     counts = own.groupBy("item_id").agg(F.countDistinct("at").alias("n_windows"))
+    union = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
     scored = (
-        runs.select("doc_id", "item_id", F.size("c.windows").alias("n_matched"), F.size("c.own").alias("n_own"))
-        .withColumn("exact", F.col("n_matched") == F.col("n_own"))
-        .groupBy("doc_id", "item_id")
-        .agg(F.max(F.struct("n_matched", "exact")).alias("best"))
+        runs.groupBy("doc_id", "item_id")
+        .agg(union("c.windows").alias("n_matched"), union("c.own").alias("n_own"), F.max("c.run").alias("run"))
+        .where("n_matched > 0")
         .join(counts, "item_id")
     )
     return scored.select(
-        "doc_id", "item_id", F.col("n_windows").cast("bigint").alias("n_windows"), F.col("best.n_matched").cast("bigint").alias("n_matched"),
-        (F.col("best.n_matched") / F.col("n_windows")).alias("share"), F.col("best.exact").alias("exact"),
-    ).where((F.col("share") >= min_share) & (F.col("n_matched") >= F.least(F.lit(min_windows), F.col("n_windows"))))
+        "doc_id", "item_id", F.col("n_windows").cast("bigint").alias("n_windows"), F.col("n_matched").cast("bigint").alias("n_matched"),
+        (F.col("n_matched") / F.col("n_windows")).alias("share"), (F.col("n_matched") == F.col("n_own")).alias("exact"), "run",
+    ).where(
+        ((F.col("share") >= min_share) & (F.col("n_matched") >= F.least(F.lit(min_windows), F.col("n_windows")))) | (F.col("run") >= min_run - window + 1)
+    ).drop("run")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -86,3 +86,11 @@ def test_numbers_that_repeat_by_chance(spark):
     assert set(_found(spark, [other], [(1, twice)])) == {0}
     one_name_off = other.replace("does Carol", "does Erin")
     assert set(_found(spark, [one_name_off])) == {0}
+
+
+def test_passages_and_insertions(spark):
+    words = [f"{a}{b}" for a in "bcdfghklmnprstvz" for b in ("ara", "eli", "omo", "uni", "isa", "ote", "alu")]
+    long = " ".join(words)
+    assert set(_found(spark, [f"{PROSE} {' '.join(words[40:55])} {PROSE}", " ".join(words[40:50])], [(1, long)])) == {0}
+    apart = " ".join(" ".join(words[i : i + 11]) + " however" for i in range(0, 112, 14))
+    assert set(_found(spark, [apart], [(1, long)])) == {0}
