@@ -34,7 +34,7 @@ MIN_SHARE, MIN_WINDOWS = 0.25, 3
 MIN_RUN = 13
 #: Of the places of names and units in a match, so many must fit one reading.
 MIN_HELD = 2 / 3
-#: A window needs so many tokens that aren't placeholders.
+#: A window with fewer tokens that aren't placeholders is looked for with the item's own values only.
 MIN_LITERAL = 4
 #: Up to so many benchmark windows, their hashes go to every task and other windows of the documents are dropped there;
 #: beyond, all windows are joined.
@@ -53,6 +53,8 @@ UNITS = (
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x8F3A5C1E92B7D461, 0x1D4E8B2F6A90C357, 0xC5926E7F0B38A1D3))
 _BASE, _MASK = 0xD6E8FEB86659FD93, (1 << 64) - 1
 _KINDS = ("number", "name", "unit")
+#: Sets hashes of windows with their values apart from those of templates.
+_VALUES = np.uint64(0x6B79D8A3F04E215C)
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -124,22 +126,24 @@ class _Tokens:
         for i in np.flatnonzero(number[:-1] & ~number[1:] & ~fresh[1:]) + 1:
             if block[s[i] : e[i]].lower() in _UNIT_SET:
                 kinds[i] = 2
+        self.values = self.hashes.copy()
         for k, h in enumerate((_NUMBER, _NAME, _UNIT)):
             self.hashes[kinds == k] = h
 
     def value(self, i: int) -> str:
         return self.block[self.starts[i] : self.ends[i]].decode("utf-8", "replace").lower()
 
-    def windows(self, size: int) -> np.ndarray:
-        """The hash of the window that starts at each token."""
+    def windows(self, size: int, values: bool = False) -> np.ndarray:
+        """The hash of the window that starts at each token, of its template or with its values."""
+        hashes = self.values if values else self.hashes
         n = len(self.hashes) - size + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
         out = np.zeros(n, np.uint64)
         with np.errstate(over="ignore"):
             for k in range(size):
-                out += self.hashes[k : n + k] * np.uint64(pow(_BASE, 2 * k + 1, 1 << 64))
-        return _mixed(out)
+                out += hashes[k : n + k] * np.uint64(pow(_BASE, 2 * k + 1, 1 << 64))
+        return _mixed(out) ^ _VALUES if values else _mixed(out)
 
 
 def template(text: str | None) -> tuple[list[str], list[str | None]]:
@@ -156,7 +160,7 @@ _UNIT_SET = frozenset(x.encode() for x in UNITS)
 _BLOCK = 1 << 22
 
 
-def _rows(idents: list, texts: list, size: int, wanted: np.ndarray | None) -> Iterator[tuple]:
+def _rows(idents: list, texts: list, size: int, wanted: np.ndarray | None, values: str | None) -> Iterator[tuple]:
     sieve = None
     if wanted is not None:
         sieve = np.zeros(1 << 22, bool)
@@ -169,25 +173,30 @@ def _rows(idents: list, texts: list, size: int, wanted: np.ndarray | None) -> It
             length += len(parts[-1]) + 1
             at += 1
         t = _Tokens(b"\n".join(parts) + b"\n")
-        hashes = t.windows(size)
-        if not len(hashes):
+        if len(t.starts) < size:
             continue
         borders = np.cumsum([len(p) + 1 for p in parts])
-        hits = np.arange(len(hashes))
-        if sieve is not None:
-            hits = np.flatnonzero(sieve[(hashes & np.uint64(len(sieve) - 1)).astype(np.int64)])
-            if len(wanted):
-                place = np.minimum(np.searchsorted(wanted, hashes[hits]), len(wanted) - 1)
-                hits = hits[wanted[place] == hashes[hits]]
-        owner = np.searchsorted(borders, t.starts[hits], side="right")
-        same = owner == np.searchsorted(borders, t.starts[hits + size - 1], side="right")
-        literal = np.concatenate([[0], np.cumsum(t.kinds < 0)])
-        same &= literal[hits + size] - literal[hits] >= MIN_LITERAL
         first_token = np.searchsorted(t.starts, np.concatenate([[0], borders]))
-        for i, o in zip(hits[same].tolist(), owner[same].tolist()):
-            places = [k for k in range(i, i + size) if t.kinds[k] >= 0]
-            slots = [f"{_KINDS[t.kinds[k]]}={t.value(k)}" for k in places]
-            yield idents[first + o], i - int(first_token[o]), int(hashes[i].astype(np.int64)), slots, [k - i for k in places]
+        literal = np.concatenate([[0], np.cumsum(t.kinds < 0)])
+        for with_values in (False, True) if values else (False,):
+            hashes = t.windows(size, with_values)
+            hits = np.arange(len(hashes))
+            if sieve is not None:
+                hits = np.flatnonzero(sieve[(hashes & np.uint64(len(sieve) - 1)).astype(np.int64)])
+                if len(wanted):
+                    place = np.minimum(np.searchsorted(wanted, hashes[hits]), len(wanted) - 1)
+                    hits = hits[wanted[place] == hashes[hits]]
+            owner = np.searchsorted(borders, t.starts[hits], side="right")
+            same = owner == np.searchsorted(borders, t.starts[hits + size - 1], side="right")
+            rich = literal[hits + size] - literal[hits] >= MIN_LITERAL
+            if not with_values:
+                same &= rich
+            elif values == "poor":
+                same &= ~rich
+            for i, o in zip(hits[same].tolist(), owner[same].tolist()):
+                places = [] if with_values else [k for k in range(i, i + size) if t.kinds[k] >= 0]
+                slots = [f"{_KINDS[t.kinds[k]]}={t.value(k)}" for k in places]
+                yield idents[first + o], i - int(first_token[o]), int(hashes[i].astype(np.int64)), slots, [k - i for k in places]
 
 
 def _schema(ident: str) -> T.StructType:
@@ -202,13 +211,17 @@ def _schema(ident: str) -> T.StructType:
     )
 
 
-def windows(rows: DataFrame, id_col: str, text_col: str, ident: str, window: int = WINDOW, wanted: np.ndarray | None = None) -> DataFrame:
-    """Windows of every text: id, position, template hash, slot values in order. ``wanted``: only these (sorted)."""
+def windows(rows: DataFrame, id_col: str, text_col: str, ident: str, window: int = WINDOW, wanted: np.ndarray | None = None, values: str | None = None) -> DataFrame:
+    """Windows of every text: id, position, template hash, slot values in order, their places. ``wanted``: only these (sorted).
+
+    ``values``: also windows by the hash of their tokens with all values, without slots: ``poor`` those short of literal
+    tokens, ``all`` all of them.
+    """
     schema = _schema(ident)
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame(list(_rows(batch["ident"].tolist(), batch["text"].tolist(), window, wanted)), columns=schema.names)
+            yield pd.DataFrame(list(_rows(batch["ident"].tolist(), batch["text"].tolist(), window, wanted, values)), columns=schema.names)
 
     return rows.select(F.col(id_col).cast("bigint").alias("ident"), F.col(text_col).alias("text")).where(
         "ident is not null and text is not null"
@@ -223,13 +236,14 @@ def matches(
 
     ``exact`` is true if all slot values are the item's own; otherwise the question was asked with other values.
     Items shorter than a window are matched by one window of all their tokens if they have at least 4; shorter ones
-    can't be told from chance and are never reported. Null ids and null texts match nothing. Repeated ids count as one
+    can't be told from chance and are never reported. Windows with under ``MIN_LITERAL`` literal tokens, of short items too,
+    count only with the item's own values. Null ids and null texts match nothing. Repeated ids count as one
     document. Empty tables give no rows; other columns are not looked at.
     """
     sizes = sorted({window, *_short_sizes(benchmark, item_col, item_text, window)}, reverse=True)
     found = None
     for size in sizes:
-        own = windows(benchmark, item_col, item_text, "item_id", size)
+        own = windows(benchmark, item_col, item_text, "item_id", size, values="poor")
         if size < window:
             own = own.join(own.groupBy("item_id").agg(F.max("at").alias("most")).where("most = 0").select("item_id"), "item_id")
         own = cut(own)
@@ -287,7 +301,7 @@ def _matched(docs, own, window, min_share, min_windows, min_run, id_col, text_co
     wanted = None
     if hashes.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         wanted = np.sort(np.array([r[0] for r in hashes.collect()], np.int64).view(np.uint64))
-    theirs = windows(docs, id_col, text_col, "doc_id", window, wanted).drop("places")
+    theirs = windows(docs, id_col, text_col, "doc_id", window, wanted, "all").drop("places")
     met = theirs.withColumnsRenamed({"at": "doc_at", "slots": "doc_slots"}).join(
         own.withColumnsRenamed({"at": "item_at", "slots": "item_slots", "places": "item_places"}), "hash"
     )

@@ -94,3 +94,10 @@ def test_passages_and_insertions(spark):
     assert set(_found(spark, [f"{PROSE} {' '.join(words[40:55])} {PROSE}", " ".join(words[40:50])], [(1, long)])) == {0}
     apart = " ".join(" ".join(words[i : i + 11]) + " however" for i in range(0, 112, 14))
     assert set(_found(spark, [apart], [(1, long)])) == {0}
+
+
+def test_items_short_of_literals(spark):
+    items = [(1, "What is 12 times 30?"), (2, "Add 1 2 3 4 5 6 7 8 9 10 11 then 12 13 14 15 16 17.")]
+    texts = [f"{PROSE}. {items[0][1]} {PROSE}", "What is 14 times 30?", f"{PROSE}. {items[1][1]}", items[1][1].replace("1", "3")]
+    got = _found(spark, texts, items)
+    assert {k: r["item_ids"] for k, r in got.items()} == {0: [1], 2: [2]} and not got[0]["reworded"] and not got[2]["reworded"]
