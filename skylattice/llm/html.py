@@ -56,7 +56,8 @@ _TOKEN = re.compile(
     re.S,
 )
 _NAMED = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>]+)))?""")
+_UNDISPLAYED = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
@@ -74,6 +75,18 @@ def _longer(path: tuple[str, ...], tag: str, attributes: str) -> tuple[str, ...]
     return tuple(dict.fromkeys((*path, tag, *hints)))
 
 
+@lru_cache(maxsize=1 << 14)
+def _hides(attributes: str) -> bool:
+    """Whether an element is hidden: by ``hidden``, by ``aria-hidden`` or by its style; words in other values don't count."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" and value.lower() != "false" or name == "aria-hidden" and value.strip().lower() == "true":
+            return True
+        if name == "style" and _UNDISPLAYED.search(value):
+            return True
+    return False
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks of a page in order, character references decoded, white space made single."""
     page = page or ""
@@ -137,7 +150,7 @@ def blocks(page: str | None) -> list[Block]:
             at = raw_until = end.end() if end else len(page)
             parts.append(" ")
             continue
-        is_hidden = bool(m[3]) and bool(_HIDDEN.search(m[3]))
+        is_hidden = bool(m[3]) and _hides(m[3])
         _, _, path, near = stack[-1] if stack else ("", False, (), "body")
         stack.append((tag, is_hidden, _longer(path, tag, m[3]), tag if tag in BLOCK_TAGS else near))
         depth_of_links += tag == "a"

@@ -55,3 +55,11 @@ def test_rows(spark):
     got = html.extract(pages).collect()
     assert len(got) == 5 and all(r["n_chars"] == len(r["text"]) for r in got)
     assert html.extract(pages.limit(0)).collect() == []
+
+
+def test_hidden_is_an_attribute_only():
+    for shown in ('class="post overflow-hidden"', 'class="md:hidden"', 'title="The hidden cost"', 'data-hidden="1"', 'title="display:none"', "class=hidden-xs", 'hidden="false"'):
+        assert [b.text for b in html.blocks(f"<div {shown}><p>z</p></div>")] == ["z"], shown
+        assert html.main_text(f"<article><div {shown}><p>The end of it all is here, and it is long.</p></div></article>", html.model())
+    for gone in ("hidden", 'class="a" hidden', 'hidden=""', "HIDDEN=until-found", 'aria-hidden="true"', "style='color:red; display : none'"):
+        assert html.blocks(f"<div {gone}><p>z</p></div>") == [], gone
