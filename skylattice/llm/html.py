@@ -27,11 +27,17 @@ from pyspark.sql import types as T
 BLOCK_TAGS = frozenset(
     "html body head title p div section article main header footer nav aside ul ol li dl dt dd table thead tbody tfoot tr "
     "td th caption h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption form fieldset address hr details summary center "
-    "dialog menu hgroup template".split()
+    "dialog menu hgroup".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: What stands in these is no text.
-RAW_TAGS = frozenset("script style noscript template iframe object svg math canvas textarea select button option".split())
+#: What stands in these is no text, and no tag, up to their end tag; without one, to the end of the page.
+RAW_TAGS = frozenset("script style".split())
+#: The same where they have an end tag; else only the tag is left out.
+RAW_IF_CLOSED = frozenset("iframe textarea".split())
+#: Form parts have no text; left open, they end with their parent, or where a block or the same part starts.
+FORM_PARTS = frozenset("button select option optgroup datalist".split())
+#: What stands in these is no text if they have an end tag in their parent; else they are like other elements.
+REPLACED = frozenset("noscript template object svg canvas".split())
 #: Elements that end when another block starts in them.
 ENDS_AT_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 dt dd".split())
 
@@ -87,11 +93,28 @@ def _hides(attributes: str) -> bool:
     return False
 
 
+@lru_cache(maxsize=1 << 10)
+def _either(tag: str, parent: str) -> re.Pattern:
+    return re.compile(rf"<(/?)({re.escape(tag)}|{re.escape(parent)})(?=[\s/>])", re.I)
+
+
+def _closed(page: str, at: int, tag: str, parent: str) -> bool:
+    """Whether an element's end tag comes before its parent's, and before the same element starts again."""
+    depth = 0
+    for m in _either(tag, parent).finditer(page, at):
+        if m[2].lower() == tag:
+            return bool(m[1])
+        depth += -1 if m[1] else 1
+        if depth < 0:
+            return False
+    return False
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks of a page in order, character references decoded, white space made single."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, bool, tuple[str, ...], str]] = []  # tag, hidden, names on the way, nearest block
+    stack: list[tuple[str, bool, tuple[str, ...], str, bool]] = []  # tag, hidden, names on the way, nearest block, blocks stay inside
     parts: list[str] = []
     linked, at, depth_of_links, hidden = 0, 0, 0, 0
 
@@ -100,13 +123,13 @@ def blocks(page: str | None) -> list[Block]:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            _, _, path, tag = stack[-1] if stack else ("", False, (), "body")
+            _, _, path, tag, _ = stack[-1] if stack else ("", False, (), "body", False)
             out.append(Block(text, tag, path, linked))
         linked = 0
 
     def pop() -> None:
         nonlocal depth_of_links, hidden
-        tag, was_hidden, _, _ = stack.pop()
+        tag, was_hidden, _, _, _ = stack.pop()
         depth_of_links -= tag == "a"
         hidden -= was_hidden
 
@@ -118,7 +141,7 @@ def blocks(page: str | None) -> list[Block]:
             if depth_of_links:
                 linked += len(text.strip())
 
-    raw_until = 0
+    raw_until, open_to_end = 0, set()
     for m in _TOKEN.finditer(page):
         if m.start() < raw_until:
             continue
@@ -137,7 +160,7 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if tag in BLOCK_TAGS:
             flush()
-            while stack and stack[-1][0] not in BLOCK_TAGS:  # inline elements left open end with their block
+            while stack and stack[-1][0] not in BLOCK_TAGS and not stack[-1][4]:  # inline elements left open end with their block
                 pop()
             if stack and (stack[-1][0] in ENDS_AT_BLOCK or tag == stack[-1][0] == "li"):
                 pop()
@@ -145,14 +168,23 @@ def blocks(page: str | None) -> list[Block]:
             parts.append(" ")
         if tag in VOID_TAGS or m[3].endswith("/"):
             continue
-        if tag in RAW_TAGS:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = raw_until = end.end() if end else len(page)
+        if tag in RAW_TAGS or tag in RAW_IF_CLOSED:
+            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at) if tag not in open_to_end else None
+            if end or tag in RAW_TAGS:
+                at = raw_until = end.end() if end else len(page)
+            else:
+                open_to_end.add(tag)
             parts.append(" ")
             continue
-        is_hidden = bool(m[3]) and _hides(m[3])
-        _, _, path, near = stack[-1] if stack else ("", False, (), "body")
-        stack.append((tag, is_hidden, _longer(path, tag, m[3]), tag if tag in BLOCK_TAGS else near))
+        is_hidden, stays = bool(m[3]) and _hides(m[3]), False
+        if tag in FORM_PARTS or tag in REPLACED:
+            parts.append(" ")
+            if tag in FORM_PARTS and stack and (stack[-1][0] == tag or (stack[-1][0] == "option" and tag == "optgroup")):
+                pop()
+            stays = tag != "option" and _closed(page, at, tag, stack[-1][3] if stack else "body")
+            is_hidden = is_hidden or stays or tag in FORM_PARTS
+        _, _, path, near, _ = stack[-1] if stack else ("", False, (), "body", False)
+        stack.append((tag, is_hidden, _longer(path, tag, m[3]), tag if tag in BLOCK_TAGS else near, stays))
         depth_of_links += tag == "a"
         hidden += is_hidden
     add(page[at:])

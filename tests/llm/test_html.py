@@ -63,3 +63,15 @@ def test_hidden_is_an_attribute_only():
         assert html.main_text(f"<article><div {shown}><p>The end of it all is here, and it is long.</p></div></article>", html.model())
     for gone in ("hidden", 'class="a" hidden', 'hidden=""', "HIDDEN=until-found", 'aria-hidden="true"', "style='color:red; display : none'"):
         assert html.blocks(f"<div {gone}><p>z</p></div>") == [], gone
+
+
+def test_elements_left_open_end_with_their_parent():
+    texts = lambda page: [b.text for b in html.blocks(page)]
+    rest = "<article><p>One.</p><p>Two.</p></article>"
+    search = "<div><input list=l><datalist id=l><option value=a>A<option value=b>B</datalist></div>"
+    assert texts(search + rest) == texts(f"<div><select><option>A<option>B</select></div>{rest}") == ["One.", "Two."]
+    for tag in ("button", "object", "noscript", "svg", "canvas", "template", "select", "textarea", "iframe"):
+        assert texts(f"<div><{tag}></div>{rest}") == ["One.", "Two."] and texts(f"<div><{tag}>{rest}")[-2:] == ["One.", "Two."], tag
+        assert texts(f"<div><{tag}><p>x</p></{tag}></div>{rest}") == ["One.", "Two."], tag
+    assert texts("<p>As <math><mi>x</mi></math> grows.</p>") == ["As x grows."]
+    assert texts("<p>a</p><script>b<p>c</p>") == ["a"]
