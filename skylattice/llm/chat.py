@@ -1,9 +1,9 @@
 """Conversations without quotes, in reply order, by linking quoted passages to the messages they come from.
 
 A line's quote level is the number of ``>`` marks at its start. Lines in a row with the same level above 0 are a
-passage; a line like "Ann wrote:" right before a deeper line introduces it and is no text of its own. A passage and its
-lines are normalised (lower case, single blanks) and hashed; so are the own lines and the whole own text of every
-message. The hashes are joined within a conversation, each standing for the first message that said it, so common lines
+passage; a line like "Ann wrote:" right before a deeper line introduces it and is no text of its own. A passage, its
+paragraphs and its lines are normalised (lower case, single blanks) and hashed; so are those of every message's own text.
+Short lines and paragraphs decide only for messages that nothing else links. The hashes are joined within a conversation, each standing for the first message that said it, so common lines
 make no pairs. A message replies to the earlier message of which it quotes most at its lowest level; following replies
 leads to its thread's first message, by pointer jumping. A message that quotes nothing known starts a thread.
 
@@ -20,7 +20,7 @@ from skylattice.llm.common import cut
 
 MARKS = r"^[\x20\t]{0,3}(?:>[\x20\t]?)+"
 INTRODUCTION = r"(?i)\bwrote:\s*$|\bschrieb.*:\s*$|\ba écrit\s*:\s*$|\bescribió:\s*$"
-#: Lines shorter than this are only linked as whole passages.
+#: Lines and paragraphs shorter than this, unless the whole, only link messages that no other unit links.
 MIN_LINE = 12
 
 
@@ -34,14 +34,19 @@ def _lines(text: Column) -> Column:
     )
 
 
+def _said(lines: Column, x: Column, i: Column) -> Column:
+    """Whether a line has no marks and is no introduction."""
+    return (x["level"] == 0) & ~(x["body"].rlike(INTRODUCTION) & (F.coalesce(F.try_element_at(lines, i + 2)["level"], F.lit(0)) > 0))
+
+
 def _own(lines: Column) -> Column:
     """Bodies of the lines without marks, introductions left out."""
-    kept = F.filter(
-        lines,
-        lambda x, i: (x["level"] == 0)
-        & ~(x["body"].rlike(INTRODUCTION) & (F.coalesce(F.try_element_at(lines, i + 2)["level"], F.lit(0)) > 0)),
-    )
-    return F.transform(kept, lambda x: x["body"])
+    return F.transform(F.filter(lines, lambda x, i: _said(lines, x, i)), lambda x: x["body"])
+
+
+def _parted(lines: Column) -> Column:
+    """The same with an empty line in place of each one left out, so that quotes part paragraphs."""
+    return F.transform(lines, lambda x, i: F.when(_said(lines, x, i), x["body"]).otherwise(F.lit("")))
 
 
 def _passages(lines: Column) -> Column:
@@ -63,10 +68,13 @@ def _normal(x: Column) -> Column:
 
 
 def _units(bodies: Column) -> Column:
-    """What can be linked of some lines, normalised: the whole, and each line that is long enough."""
-    whole = F.array(_normal(F.array_join(bodies, " ")))
-    single = F.filter(F.transform(bodies, _normal), lambda x: F.char_length(x) >= MIN_LINE)
-    return F.filter(F.array_distinct(F.concat(whole, single)), lambda x: x != "")
+    """What can be linked of some lines, normalised, as ``unit`` and ``short``: the whole, paragraphs and lines."""
+    paragraphs = F.split(F.array_join(bodies, "\n"), r"\n\s*\n")
+    whole = F.array(F.struct(_normal(F.array_join(bodies, " ")).alias("unit"), F.lit(False).alias("short")))
+    parts = F.transform(
+        F.transform(F.concat(paragraphs, bodies), _normal), lambda x: F.struct(x.alias("unit"), (F.char_length(x) < MIN_LINE).alias("short"))
+    )
+    return F.filter(F.array_distinct(F.concat(whole, parts)), lambda x: x["unit"] != "")
 
 
 def parse(messages: DataFrame) -> DataFrame:
@@ -83,6 +91,7 @@ def parse(messages: DataFrame) -> DataFrame:
         {
             "own": F.when(F.col("quotes"), F.regexp_replace(F.array_join("own_lines", "\n"), r"^\s+|\s+$", "")).otherwise(F.col("text")),
             "passages": F.when(F.col("quotes"), _passages(F.col("lines"))),
+            "parted": F.when(F.col("quotes"), _parted(F.col("lines"))).otherwise(F.col("own_lines")),
         }
     )
 
@@ -93,18 +102,24 @@ def reply_links(parsed: DataFrame) -> DataFrame:
     quoted = (
         parsed.where(known & F.col("quotes"))
         .select("conv_id", "turn", F.xxhash64("text").alias("key"), F.posexplode("passages").alias("number", "p"))
-        .select("conv_id", "turn", "key", "number", F.col("p.level").alias("level"), F.explode(_units(F.col("p.lines"))).alias("unit"))
+        .select("conv_id", "turn", "key", "number", F.col("p.level").alias("level"), F.explode(_units(F.col("p.lines"))).alias("u"))
     )
-    quoted = cut(quoted.select("conv_id", "turn", "key", "number", "level", F.xxhash64("unit").alias("hash"), F.char_length("unit").alias("chars")))
+    unit = (F.xxhash64("u.unit").alias("hash"), F.char_length("u.unit").alias("chars"))
+    quoted = cut(quoted.select("conv_id", "turn", "key", "number", "level", *unit, "u.short"))
     if quoted.isEmpty():
         return quoted.select("conv_id", "turn", "key", F.col("turn").alias("reply_to"), F.lit(0).cast("bigint").alias("n_linked"))
     said = (
         parsed.where(known)
-        .select("conv_id", "turn", F.explode(_units(F.col("own_lines"))).alias("unit"))
-        .groupBy("conv_id", F.xxhash64("unit").alias("hash"), F.char_length("unit").alias("chars"))
-        .agg(F.min("turn").alias("source"))
+        .select("conv_id", "turn", F.explode(_units(F.col("parted"))).alias("u"))
+        .groupBy("conv_id", *unit)
+        .agg(F.min("turn").alias("first"), F.min(F.when(~F.col("u.short"), F.col("turn"))).alias("first_long"))
     )
-    met = quoted.join(said, ["conv_id", "hash", "chars"]).where(F.col("source") < F.col("turn"))
+    both = cut(quoted.join(said, ["conv_id", "hash", "chars"]))
+    shared = ("conv_id", "turn", "key", "number", "level", "hash", "chars")
+    long = both.where(~F.col("short") & (F.col("first_long") < F.col("turn"))).select(*shared, F.col("first_long").alias("source"))
+    short = both.where(F.col("first") < F.col("turn")).select(*shared, F.col("first").alias("source")).distinct()
+    # A null text isn't quoting, so keys are never null here.
+    met = long.unionByName(short.join(long.select("conv_id", "turn", "key").distinct(), ["conv_id", "turn", "key"], "left_anti"))
     whole = met.groupBy("conv_id", "turn", "key", "level", "source").agg(
         F.sum("chars").alias("chars"), F.collect_set("number").alias("numbers")
     )

@@ -67,3 +67,16 @@ def test_no_quotes_and_no_rows(spark):
 def test_only_functions(spark):
     plan = chat.conversations(_rows(spark, ROWS))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_partial_short_and_rewrapped_quotes(spark):
+    long = "Shall we go there?\nYes.\nDo it.\n\nThe first paragraph is wrapped\nat some width or other.\n\nThe second one\nis wrapped too, as it is long."
+    rows = [
+        (1, 0, "u", long), (1, 1, "u", "> Do it.\nfine"), (1, 2, "u", "> Yes.\n> Do it.\nwell"),
+        (1, 3, "u", "> The first paragraph is\n> wrapped at some width\n> or other.\n>\n> The second one is wrapped too, as it is long.\nokay"),
+        (1, 4, "u", "> The first paragraph is wrapped at\n> some width or other.\nright"), (1, 5, "u", "> Yes.\n> said nobody\n>> fine\nhm"),
+        (2, 0, "u", "Answers of mine:\nYes.\nNo."), (2, 1, "u", "Yes."), (2, 2, "u", "> Yes.\nthanks"), (2, 3, "u", "> Never.\nwhat"),
+        (3, 0, "u", "> zzz\nThis paragraph is\nin two lines.\n> yyy\nAnother text."), (3, 1, "u", "> This paragraph is in two\n> lines.\nsure"),
+    ]
+    got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in chat.conversations(_rows(spark, rows)).collect()}
+    assert {k: v for k, v in got.items() if v is not None} == {(1, 1): 0, (1, 2): 0, (1, 3): 0, (1, 4): 0, (1, 5): 1, (2, 2): 1, (3, 1): 0}
