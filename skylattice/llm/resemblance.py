@@ -114,7 +114,7 @@ def links(classes: DataFrame, docs: DataFrame, text_col: str, alike: float = ALI
     sets = cut(texts.select("tk", _shingles("text").alias("set")))
 
     def alike_in(few: DataFrame) -> DataFrame:
-        return likeness(_all_pairs(few, alike).distinct(), sets).where(F.col("alike") >= alike).select("u", "v")
+        return cut(likeness(cut(_all_pairs(few, alike).distinct()), sets).where(F.col("alike") >= alike).select("u", "v"))
 
     found = alike_in(several.where(F.col("met") <= bucket_limit))
     crowd, placed, n_leads = cut(several.where(F.col("met") > bucket_limit)), None, 4
@@ -125,7 +125,7 @@ def links(classes: DataFrame, docs: DataFrame, text_col: str, alike: float = ALI
         drawn = crowd.where(F.pmod(F.xxhash64("tk", F.lit(n_leads)), F.col("met")) < n_leads).select("key", "tk")
         leads = cut(least.unionByName(drawn).distinct().join(crowd, ["key", "tk"]).select("key", F.col("tk").alias("lead"), F.col("n").alias("n_lead")))
         stars = cut(crowd.join(leads, "key").where((F.col("tk") != F.col("lead")) & _sizes_fit("n", "n_lead", far)).select("key", "lead", "tk"))
-        scored = likeness(stars.select(F.col("lead").alias("u"), F.col("tk").alias("v")).distinct(), sets).where(F.col("alike") >= far)
+        scored = likeness(cut(stars.select(F.col("lead").alias("u"), F.col("tk").alias("v")).distinct()), sets).where(F.col("alike") >= far)
         new = cut(stars.join(scored.withColumnsRenamed({"u": "lead", "v": "tk"}), ["lead", "tk"]).select("key", "lead", "tk", "alike"))
         placed = new if placed is None else placed.unionByName(new)
         gone = new.where(F.col("alike") >= alike).select("key", "tk").unionByName(leads.select("key", F.col("lead").alias("tk"))).distinct()
