@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"file://{os.path.join(tempfile.gettempdir(), 'skylattice-shared')}"
 
 
@@ -33,6 +36,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Up to so many ids are broadcast: 8 bytes each, about 40 MB as a hash table.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id isn't in ``gone`` (one column); rows with a null id stay.
+
+    The ids are written and counted first. Up to ``BROADCAST_IDS`` they go to the rows, so that no text is moved.
+    """
+    gone = cut(gone.toDF("__gone"))
+    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Labels every vertex of an undirected graph with one vertex of its component.
 

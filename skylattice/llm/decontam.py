@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skylattice.llm.common import cut
+from skylattice.llm.common import cut, without_ids
 
 WINDOW = 8
 #: A document has an item if consistent windows cover this share of the item's windows, and so many of them.
@@ -343,6 +343,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without contamination, all their columns kept; rows with a null id stay."""
-    id_col = options.get("id_col", "doc_id")
-    bad = matches(docs, benchmark, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col] == bad["__bad"], "left_anti")
+    bad = matches(docs, benchmark, **options).select("doc_id").distinct()
+    return without_ids(docs, bad, options.get("id_col", "doc_id"))

@@ -1,48 +1,63 @@
 """SimHash near-duplicates, found by pigeonring chains of segments.
 
-A text is lower-cased (A-Z only) and cut into words; every run of three words is a shingle, repeats included. A bit
-of the fingerprint is 1 if it is set in over half of the shingles' XXH64 hashes (seed 42). Fingerprints that differ
-in at most ``max_bits`` bits are linked, and documents reachable over links form a component.
-
-The 64 bits form a ring of ``segments`` equal segments. If two fingerprints differ in at most t bits, then some start
-on the ring has, for every length l, at most floor(l * t / segments) differing bits in the l segments from there (the
-pigeonring principle). The longest chain whose budget is still 0 must be equal, so it serves as the key of a hash
-join; the budgets of the longer chains prune the pairs before the full Hamming check.
-
-Keys under which more than ``bucket_limit`` fingerprints meet are not paired: there two fingerprints at distance 2
-or less are linked over the points at distance 1 or less that they share, 65 rows a fingerprint, which is exact and
-linear in the bucket. That shortcut holds for ``max_bits`` 2; for other values all keys are paired.
+A text is lower-cased (A-Z only) and cut into words; every run of ``shingle`` words is a shingle. A bit of the
+fingerprint is 1 if it is set in over half of the shingles' hashes. Fingerprints that differ in few enough bits are
+linked, and documents reachable over links form a component.
+
+The bits form a ring of equal segments. If two fingerprints differ in at most t of m segments' bits, then some start on
+the ring has, for every length l, at most floor(l * t / m) differing bits in the l segments from there (the pigeonring
+principle). The first segments must be equal, so they serve as the key of a hash join; the budgets of the longer chains
+prune the pairs before the full Hamming check. Two settings of this:
+
+* Close copies (``near_duplicates``): 64 bits of XXH64 (seed 42) over three words, repeats included, at most 2 differing.
+  The chains whose budget is 0 are three of eight segments long, and so exact: no link is lost. Where more than
+  ``bucket_limit`` fingerprints meet under a key, the key is lengthened: the other bits are cut into one part more than
+  may differ, one of which must be equal too. This goes on while keys are crowded and have free bits to add.
+* Likeness of 0.8 (``deduplicated``): sets of five words, of which pairs differ in about 15 % of the bits. No chain of a
+  useful length has the budget 0 there, so this takes long fingerprints, with so many segments that a pair shares some
+  of them (``ring_of``). Recall isn't exact but computed and measured. What meets under a key isn't paired out: all are
+  checked against one of them, the lead, and components made; then what is still apart is checked, and only that.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skylattice.llm.common import connected_components, cut
+from skylattice.llm.common import connected_components, cut, without_ids
 
 SEED = 42
+#: The likeness that long fingerprints are made for, the share of bits that may differ, and the share that differs at 0.8.
+SHINGLE, DIFFER, AT_ALIKE = 5, 0.165, 0.1515
+#: Bits and number of segments for up to 2^18 texts; for more the bits grow with their logarithm.
+WIDTH, SEGMENTS = 20, 80
 _CHUNK = 1 << 16
+_BLOCK = 1 << 13
+_LANES = np.uint64(0x0101010101010101)
 
 
-def simhash(text: str | None, shingle: int = 3) -> int:
-    """The fingerprint of one text, as a signed 64-bit number; 0 for null and texts without words."""
+def _hashes(text: str | None, shingle: int) -> list[int]:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    joined = b" ".join(words)
+        return []
+    digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
     if len(words) <= shingle:
-        hashes = [digest(joined, SEED)]
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        first, last = (ends - sizes)[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist()
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(first, last)]
+        return [digest(joined, SEED)]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    first, last = (ends - sizes)[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist()
+    return [digest(joined[a:b], SEED) for a, b in zip(first, last)]
+
+
+def simhash(text: str | None, shingle: int = 3) -> int:
+    """The 64-bit fingerprint of one text, as a signed number; 0 for null and texts without words."""
+    hashes = _hashes(text, shingle)
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _CHUNK):
         octets = np.array(hashes[at : at + _CHUNK], dtype=">u8").view(np.uint8).reshape(-1, 8)
@@ -60,14 +75,78 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), simhash_column(F.col(text_col)).alias("fp"))
 
 
+def _counted(hashes: np.ndarray, owners: np.ndarray, n: int, words: int) -> np.ndarray:
+    """For each of ``n`` owners and each bit: how many of its hashes, drawn out to ``words`` words, have the bit."""
+    counts = np.zeros((n, words, 8, 8), np.uint32)
+    steps = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), _BLOCK):
+        h = hashes[at : at + _BLOCK, None] + steps
+        h ^= h >> np.uint64(30)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(27)
+        h *= np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        own = owners[at : at + _BLOCK]
+        place = np.arange(len(own))
+        fresh = np.ones(len(own), bool)
+        fresh[1:] = own[1:] != own[:-1]
+        since = place - np.maximum.accumulate(np.where(fresh, place, 0))
+        # Bytes count up to 255 hashes of one owner at a time.
+        starts = np.flatnonzero(since % 255 == 0)
+        whose = own[starts]
+        firsts = np.flatnonzero(np.concatenate([[True], whose[1:] != whose[:-1]]))
+        for bit in range(8):
+            lanes = np.add.reduceat((h >> np.uint64(bit)) & _LANES, starts, axis=0)
+            lanes = lanes.view(np.uint8).reshape(len(starts), words, 8)
+            counts[whose[firsts], :, :, bit] += np.add.reduceat(lanes, firsts, axis=0, dtype=np.uint32)
+    return counts
+
+
+def long_fingerprints(texts: list[str | None], words: int, shingle: int = SHINGLE) -> np.ndarray:
+    """Fingerprints of ``words`` 64-bit words, of the sets of shingles; 0 for null and texts without words."""
+    out = np.zeros((len(texts), words), np.int64)
+    at = 0
+    while at < len(texts):
+        sets, held, first = [], 0, at
+        while at < len(texts) and len(sets) < 256 and (not sets or held < _BLOCK):
+            sets.append(np.unique(np.array(_hashes(texts[at], shingle), np.uint64)))
+            held += len(sets[-1])
+            at += 1
+        sizes = np.array([len(s) for s in sets])
+        if held:
+            counts = _counted(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets), words)
+            most = counts.reshape(len(sets), -1) * 2 > sizes[:, None]
+            out[first:at] = np.packbits(most, axis=1).view(">i8").astype(np.int64)
+    return out
+
+
+def long_column(text: Column, words: int, shingle: int = SHINGLE) -> Column:
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def prints(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(long_fingerprints(texts.tolist(), words, shingle)), dtype=object)
+
+    return prints(text)
+
+
 def _rotated(c: Column, by: int) -> Column:
     return c if by == 0 else F.shiftleft(c, by).bitwiseOR(F.shiftrightunsigned(c, 64 - by))
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def lengthened(mask: int, parts: int) -> list[int]:
+    """The masks that add one of ``parts`` parts of the free bits to ``mask``."""
+    free = [b for b in range(63, -1, -1) if not mask >> b & 1]
+    cuts = [len(free) * i // parts for i in range(parts + 1)]
+    return [mask | sum(1 << b for b in free[a:b_]) for a, b_ in zip(cuts, cuts[1:])]
+
+
 def links(fps: DataFrame, max_bits: int = 2, segments: int = 8, bucket_limit: int = 64) -> DataFrame:
-    """Links (``u``, ``v``) that join the same fingerprints as all pairs with at most ``max_bits`` differing bits.
+    """All pairs (``u``, ``v``) of fingerprints with at most ``max_bits`` differing bits; a pair may come repeatedly.
 
-    ``fps`` has distinct fingerprints in ``fp``.
+    ``fps`` has distinct fingerprints in ``fp``. ``bucket_limit`` decides how long keys get, not what is found.
     """
     if 64 % segments or not 0 <= max_bits < segments:
         raise ValueError("segments must divide 64 and exceed max_bits")
@@ -76,39 +155,39 @@ def links(fps: DataFrame, max_bits: int = 2, segments: int = 8, bucket_limit: in
     equal = max(n for n in budget if budget[n] == 0)
     if equal == segments:
         return fps.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
-    ring = fps.select(
-        "fp",
-        F.posexplode(F.array(*[_rotated(F.col("fp"), width * i) for i in range(segments)])).alias("start", "ring"),
-    ).withColumn("key", F.shiftrightunsigned("ring", 64 - width * equal))
-    met = ring.groupBy("start", "key").agg(F.count("*").alias("n")).where("n > 1")
-    few = met if max_bits != 2 else met.where(F.col("n") <= bucket_limit)
-    members = ring.join(few.select("start", "key"), ["start", "key"])
-    a = members.select("start", "key", F.col("fp").alias("u"), F.col("ring").alias("ring_u"))
-    b = members.select("start", "key", F.col("fp").alias("v"), F.col("ring").alias("ring_v"))
-    differing = F.col("ring_u").bitwiseXOR(F.col("ring_v"))
+    masks = [((1 << width * equal) - 1) << (64 - width * equal)]
     chains = [
-        F.bit_count(F.shiftrightunsigned(differing, 64 - width * n)) <= budget[n]
+        (64 - width * n, budget[n])
         for n in range(equal + 1, segments)
         if budget[n] != budget[n + 1]  # the longest chain of each budget implies the shorter ones
     ]
-    pairs = a.join(b, ["start", "key"]).where(F.col("u") < F.col("v"))
-    for chain in [*chains, F.bit_count(differing) <= max_bits]:
-        pairs = pairs.where(chain)
-    pairs = pairs.select("u", "v")
-    if max_bits != 2:
-        return pairs
-    crowded = ring.join(met.where(F.col("n") > bucket_limit).select("start", "key"), ["start", "key"]).select("fp").distinct()
-    balls = crowded.select(
-        "fp",
-        F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])).alias("point"),
-    )
-    # A point has 65 neighbours at most, so these windows are small whatever the data.
-    hubs = balls.select(F.min("fp").over(Window.partitionBy("point")).alias("u"), F.col("fp").alias("v")).where("u <> v")
-    return pairs.unionByName(hubs)
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+    rows = fps.select(
+        "fp", F.posexplode(F.array(*[_rotated(F.col("fp"), width * i) for i in range(segments)])).alias("start", "ring")
+    ).withColumn("mask", F.lit(_signed(masks[0])))
+    found = None
+    while True:
+        key = ["start", "mask", "key"]
+        rows = rows.withColumn("key", F.col("ring").bitwiseAND(F.col("mask")))
+        met = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+        free = 64 - masks[0].bit_count()
+        longest = free < 6 * (max_bits + 1)  # then few fingerprints are left that a key can hold
+        members = rows.join(met if longest else met.where(F.col("n") <= bucket_limit), key)
+        a = members.select(*key, F.col("fp").alias("u"), F.col("ring").alias("ring_u"))
+        b = members.select(*key, F.col("fp").alias("v"), F.col("ring").alias("ring_v"))
+        differing = F.col("ring_u").bitwiseXOR(F.col("ring_v"))
+        pairs = a.join(b, key).where(F.col("u") < F.col("v"))
+        for shift, most in [*chains, (0, max_bits)]:
+            pairs = pairs.where(F.bit_count(F.shiftrightunsigned(differing, shift)) <= most)
+        found = pairs.select("u", "v") if found is None else found.unionByName(pairs.select("u", "v"))
+        if longest:
+            return found
+        crowded = cut(rows.join(met.where(F.col("n") > bucket_limit), key).select("fp", "start", "ring", "mask"))
+        if crowded.isEmpty():
+            return found
+        longer = {m: lengthened(m, max_bits + 1) for m in masks}
+        masks = [x for m in masks for x in longer[m]]
+        table = F.create_map(*[x for m, more in longer.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(y)) for y in more]))])
+        rows = crowded.select("fp", "start", "ring", F.explode(table[F.col("mask")]).alias("mask"))
 
 
 def _classes(prints: DataFrame, max_bits: int, segments: int, bucket_limit: int) -> DataFrame:
@@ -138,28 +217,102 @@ def near_duplicates(
     )
 
 
-def deduplicated(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2, segments: int = 8, bucket_limit: int = 64
-) -> DataFrame:
-    """One document of each component, that with the smallest id, all its columns kept.
+def ring_of(n_texts: int) -> tuple[int, int, int]:
+    """Bits of a segment, number of segments and 64-bit words of the fingerprints for so many texts.
 
-    Of rows that repeat the smallest id, any one stays. Rows with a null id go if their component has an id, else any
-    one of the component stays.
+    Other texts meet under a key by chance the less the longer it is, so its bits grow with the logarithm of the texts;
+    a pair that is 0.8 alike has a segment in common the less often, so their number grows in proportion. The computed
+    chance to find such a pair stays the same, about 0.95.
     """
-    prints = cut(fingerprints(docs, id_col, text_col))
-    members = cut(_classes(prints, max_bits, segments, bucket_limit))
-    return kept_rows(docs, prints, members, simhash_column(F.col(text_col)), id_col)
+    width = min(32, max(WIDTH, math.ceil(math.log2(max(1, n_texts))) + 2))
+    segments = math.ceil(SEGMENTS * (1 - AT_ALIKE) ** (WIDTH - width))
+    return width, segments, -(-width * segments // 64)
+
+
+def _kept_in(u: str, v: str, width: int) -> Column:
+    """Whether the chains of whole segments that 64 bits hold keep to their budgets."""
+    differing = F.col(u).bitwiseXOR(F.col(v))
+    fits = F.lit(True)
+    for n in range(2, 64 // width + 1):
+        fits = fits & (F.bit_count(F.shiftrightunsigned(differing, 64 - n * width)) <= int(n * width * DIFFER))
+    return fits
+
+
+def _within(pairs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """The pairs (``u``, ``v``, other columns) whose fingerprints differ in few enough bits."""
+    for side in "uv":
+        pairs = pairs.join(classes.select(F.col("ck").alias(side), F.col("fp").alias(f"fp_{side}")), side)
+    differing = F.aggregate(F.zip_with("fp_u", "fp_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    return pairs.where(differing <= int(words * 64 * DIFFER)).drop("fp_u", "fp_v")
+
 
+def _labelled(rows: DataFrame, labels: DataFrame, vertex: str, name: str) -> DataFrame:
+    known = labels.select(F.col("vertex").alias(vertex), F.col("label").alias(name))
+    return rows.join(known, vertex, "left").withColumn(name, F.coalesce(name, vertex))
 
-def kept_rows(docs: DataFrame, prints: DataFrame, members: DataFrame, key: Column, id_col: str) -> DataFrame:
-    """The rows of ``docs`` that stay: ``prints`` has their ids, ``members`` the component of each ``fp``, ``key`` makes it."""
-    kept = members.where("component_id is not null").select(F.col("component_id").alias("__kept")).distinct()
-    out = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
+
+def long_components(classes: DataFrame, width: int, segments: int, words: int) -> DataFrame:
+    """``ck``, ``first_id`` and ``label`` of classes ``ck``, ``first_id``, ``fp`` (distinct long fingerprints).
+
+    Two classes are linked if they share a segment, the chains from there keep to their budgets and at most ``DIFFER``
+    of all bits differ.
+    """
+    at = F.col("start") * width
+    word = lambda i: F.element_at("fp", (F.pmod(i, F.lit(words)) + 1).cast("int"))
+    q, r = F.floor(at / 64), F.pmod(at, F.lit(64)).cast("int")
+    ring = (
+        classes.select("ck", "fp", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("start"))
+        .select("ck", "start", word(q).alias("here"), word(q + 1).alias("next"), r.alias("r"))
+        .select("ck", "start", F.expr("shiftleft(here, r) | shiftrightunsigned(shiftrightunsigned(next, 1), 63 - r)").alias("ring"))
+        .withColumn("key", F.shiftrightunsigned("ring", 64 - width))
+    )
+    # The same order as in the first round of the components, so that stars around leads go in one round.
+    order = F.struct(F.xxhash64("ck", F.lit(0)).alias("rank"), "ck", "ring")
+    leads = ring.groupBy("start", "key").agg(F.min(order).alias("head"), F.count("*").alias("n")).where("n > 1")
+    leads = leads.select("start", "key", "n", F.col("head.ck").alias("lead"), F.col("head.ring").alias("lead_ring"))
+    met = cut(ring.join(leads, ["start", "key"]))
+    stars = met.where((F.col("ck") != F.col("lead")) & _kept_in("ring", "lead_ring", width))
+    links = _within(stars.select(F.col("lead").alias("u"), F.col("ck").alias("v")).distinct(), classes, words)
+    labels = cut(connected_components(links))
+    # Two of a key have met each other. Of the others those are left that aren't connected with the lead.
+    crowd = met.where("n > 2").select("start", "key", "ck", "ring", "lead")
+    crowd = cut(_labelled(_labelled(crowd, labels, "ck", "label"), labels, "lead", "lead_label"))
+    a = crowd.select("start", "key", F.col("ck").alias("u"), F.col("ring").alias("ring_u"), F.col("label").alias("in_u"), "lead_label")
+    b = crowd.where("label <> lead_label").select("start", "key", F.col("ck").alias("v"), F.col("ring").alias("ring_v"), F.col("label").alias("in_v"))
+    apart = a.join(b, ["start", "key"]).where(
+        (F.col("in_u") != F.col("in_v")) & ((F.col("in_u") == F.col("lead_label")) | (F.col("u") < F.col("v"))) & _kept_in("ring_u", "ring_v", width)
+    )
+    more = _within(apart.select("u", "v", "in_u", "in_v").distinct(), classes, words)
+    above = connected_components(more.select(F.col("in_u").alias("u"), F.col("in_v").alias("v"))).withColumnsRenamed({"vertex": "below", "label": "top"})
+    member = _labelled(classes.select("ck", "first_id"), labels, "ck", "below")
+    return member.join(above, "below", "left").select("ck", "first_id", F.coalesce("top", "below").alias("label"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component of texts about 0.8 alike (Jaccard, sets of five words), all its columns kept.
+
+    The one with the smallest id stays. Texts without words are alike. Of rows that repeat the smallest id, any one
+    stays. Rows with a null id go if their component has an id, else any one of the component stays.
+    """
+    width, segments, words = ring_of(docs.count())
+    mark = F.xxhash64(long_column(F.col(text_col), words))
+    prints = cut(
+        docs.select(F.col(id_col).alias("doc_id"), long_column(F.col(text_col), words).alias("fp")).withColumn("ck", F.xxhash64("fp"))
+    )
+    classes = cut(prints.groupBy("ck").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp")))
+    member = cut(long_components(classes, width, segments, words))
+    least = member.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    members = cut(member.join(least, "label").select("ck", "label", "component_id"))
+    kept = members.where("component_id is not null").select("component_id").distinct()
+    found = prints.where("doc_id is not null").select("doc_id", "ck").join(members.select("ck", "component_id"), "ck")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = gone.join(kept, gone["doc_id"] == kept["component_id"], "left_anti")
+    out = without_ids(docs.where(F.col(id_col).isNotNull()), gone, id_col)
     ids = prints.where("doc_id is not null").groupBy("doc_id").count()
     if not ids.where("count > 1").isEmpty():
         out = out.dropDuplicates([id_col])
     if prints.where("doc_id is null").isEmpty():
         return out
-    nameless = docs.where(F.col(id_col).isNull()).withColumn("__fp", key)
-    alone = members.where("component_id is null").select(F.col("fp").alias("__fp"), F.col("label").alias("__label"))
-    return out.unionByName(nameless.join(alone, "__fp").dropDuplicates(["__label"]).drop("__fp", "__label"))
+    nameless = docs.where(F.col(id_col).isNull()).withColumn("__ck", mark)
+    alone = members.where("component_id is null").select(F.col("ck").alias("__ck"), F.col("label").alias("__label"))
+    return out.unionByName(nameless.join(alone, "__ck").dropDuplicates(["__label"]).drop("__ck", "__label"))

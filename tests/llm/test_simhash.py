@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -75,6 +76,11 @@ def test_links_join_the_same_as_all_pairs(spark, limit, segments):
     assert len(set(zip(labels, expected))) == len(set(labels)) == len(set(expected))
 
 
+def test_lengthened_keys():
+    masks = simhash.lengthened(((1 << 24) - 1) << 40, 3)
+    assert sum(m & ((1 << 40) - 1) for m in masks) == (1 << 40) - 1 and all(m >> 40 == (1 << 24) - 1 for m in masks)
+
+
 def test_other_distances(spark):
     prints = [0, 0b111, 0b1111, 1 << 40]
     frame = spark.createDataFrame([(p,) for p in prints], "fp long")
@@ -94,8 +100,111 @@ def test_components(spark):
 def test_deduplicated(spark):
     out = simhash.deduplicated(docs(spark)).collect()
     texts = [x["text"] for x in out]
-    assert len(out) == len({_plain(t) for _, t, *_ in DOCS}) and len(out[0]) > 5
+    assert len(out) == len({(t or "").strip() for _, t, *_ in DOCS}) and len(out[0]) > 5
     assert texts.count("The cat sat on the mat and looked at the moon.") == 1
     assert any(x["doc_id"] is None and x["text"] for x in out)
     nameless = [(None, "one two three four five", None, None, None)] * 3
     assert simhash.deduplicated(docs(spark, nameless)).count() == 1
+
+
+def _set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def _alike(a, b):
+    x, y = _set(a), _set(b)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _edited(r, words, n):
+    words = list(words)
+    for i in r.sample(range(len(words)), n):
+        words[i] = f"e{r.randrange(10**9)}"
+    return " ".join(words)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(alphabet="Ab c", max_size=400), max_size=5))
+def test_long_fingerprints(texts):
+    got = simhash.long_fingerprints(texts, 3)
+    for text, print_ in zip(texts, got):
+        hashes = np.unique(np.array(simhash._hashes(text, 5), np.uint64))
+        drawn = hashes[:, None] + np.arange(1, 4, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        drawn = (drawn ^ (drawn >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        drawn = (drawn ^ (drawn >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        drawn ^= drawn >> np.uint64(31)
+        count = lambda word: sum(2 * int((word >> np.uint64(b) & np.uint64(1)).sum()) > len(hashes) for b in range(64))
+        assert [int(x % 2**64).bit_count() for x in print_.tolist()] == [count(drawn[:, k]) for k in range(3)]
+
+
+def test_counts_beyond_a_byte():
+    hashes = np.arange(1, 3000, dtype=np.uint64)
+    owners = np.repeat([0, 1, 2], [700, 1, 2298])
+    got = simhash._counted(hashes, owners, 3, 2).reshape(3, 2, -1).sum(2)
+    one = [simhash._counted(hashes[i : i + 1], np.zeros(1, int), 1, 2).reshape(2, -1).sum(1) for i in range(len(hashes))]
+    assert (got == np.array([sum(one[:700]), one[700], sum(one[701:])])).all()
+
+
+def test_near_copies_are_found(spark):
+    """Recall of the components over planted pairs at least 0.8 alike, and no component over pairs under 0.7."""
+    r, texts = random.Random(5), []
+    for i in range(300):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.randrange(60, 400))]
+        near, far = max(1, len(words) // r.choice([46, 60, 90])), len(words) // 10
+        texts += [" ".join(words), _edited(r, words, near), _edited(r, words, far)]
+    alike = [i for i in range(0, 900, 3) if _alike(texts[i], texts[i + 1]) >= 0.8]
+    assert len(alike) > 250 and all(_alike(texts[i], texts[i + 2]) < 0.7 for i in range(0, 900, 3))
+    rows = docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts)], clash=False)
+    got = {x["doc_id"] for x in simhash.deduplicated(rows).collect()}
+    assert sum(i + 1 not in got for i in alike) >= 0.9 * len(alike)
+    assert got >= set(range(0, 900, 3)) | set(range(2, 900, 3))
+
+
+def test_large_groups_of_near_copies(spark):
+    """A group whose members all share keys, two groups that aren't alike but share keys, and texts apart."""
+    r = random.Random(7)
+    words = [f"w{r.randrange(5000)}" for _ in range(240)]
+    other = words[:160] + [f"x{r.randrange(5000)}" for _ in range(80)]
+    texts = [_edited(r, w, r.choice([1, 2, 3])) for w in (words, other) for _ in range(40)] + ["", "  ", "one", "One", None]
+    rows = docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    got = sorted(x["doc_id"] for x in simhash.deduplicated(rows).collect())
+    assert got == [0, 40, 80, 82]
+    assert simhash.deduplicated(docs(spark, [])).collect() == []
+
+
+def test_crowded_keys_against_one_key(spark):
+    """Components are those of all pairs that share a key, keep to the chains and differ little enough."""
+    r, texts = random.Random(11), []
+    words = [f"w{r.randrange(5000)}" for _ in range(100)]
+    for _ in range(70):
+        words = _edited(r, words, 2).split()  # a chain: each is alike to those next to it only
+        texts.append(" ".join(words))
+    width, segments, n = simhash.ring_of(70)
+    prints = simhash.long_fingerprints(texts, n)
+    bits = np.unpackbits(prints.astype(">i8").view(np.uint8), axis=1)
+    label = list(range(70))
+    find = lambda i: i if label[i] == i else find(label[i])
+    for i in range(70):
+        for j in range(i):
+            apart = bits[i] != bits[j]
+            if apart.sum() <= int(n * 64 * simhash.DIFFER):
+                ring = np.concatenate([apart, apart])
+                for s in range(segments):
+                    chain = [ring[s * width : (s + k) * width].sum() for k in (1, 2, 3)]
+                    if chain[0] == 0 and chain[1] <= int(2 * width * simhash.DIFFER) and chain[2] <= int(3 * width * simhash.DIFFER):
+                        label[find(i)] = find(j)
+                        break
+    rows = docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    least = {}
+    for i in range(70):
+        least.setdefault(find(i), i)
+    assert sorted(x["doc_id"] for x in simhash.deduplicated(rows).collect()) == sorted(least.values())
+
+
+def test_width_follows_the_texts():
+    assert simhash.ring_of(0) == simhash.ring_of(250_000) == (20, 80, 25)
+    for n in (10**6, 10**9, 10**11):
+        width, segments, words = simhash.ring_of(n)
+        assert width <= 32 and words * 64 >= width * segments
+        assert 1 - (1 - (1 - simhash.AT_ALIKE) ** width) ** segments > 0.94
