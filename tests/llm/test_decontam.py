@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from skylattice.llm import decontam
@@ -34,28 +35,72 @@ def test_inconsistent_slots_are_no_match(spark):
     assert set(_found(spark, [once])) == {0}
 
 
-def test_window_hashes_against_brute_force(spark):
-    texts = [f"{PROSE} {ITEM}", PROSE + " " + PROSE, ITEM + ITEM]
-    frame = docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
-    got = decontam.windows(frame, "doc_id", "text", "doc_id").collect()
-    expected, by_hash = 0, {}
-    for r in got:
-        tokens, _ = decontam.template(texts[r["doc_id"]])
-        by_hash.setdefault(r["hash"], set()).add(tuple(tokens[r["at"] : r["at"] + 8]))
-    for t in texts:
-        tokens, _ = decontam.template(t)
-        expected += sum(sum(not x.startswith("<") for x in tokens[i : i + 8]) >= decontam.MIN_LITERAL for i in range(len(tokens) - 7))
-    assert len(got) == expected and all(len(x) == 1 for x in by_hash.values())
-    assert len(set.union(*by_hash.values())) == len(by_hash)
-
-
-def test_large_benchmarks_are_joined_whole(spark, monkeypatch):
+def test_window_hashes_against_brute_force():
+    texts = [f"{PROSE} {ITEM}", PROSE + " " + PROSE, f"{ITEM} Then 5km/h. Yes. No {ITEM}", "Short. Text", ""]
+    got = list(decontam._rows(list(range(len(texts))), texts, [8], np.full(1, 255, np.uint8)))
+    by_hash, expected = {}, set()
+    for n, text in enumerate(texts):
+        t = decontam._Tokens(text.encode() + b"\n")
+        for i in range(len(t.starts) - 7):
+            places = [k for k in range(i, i + 8) if t.either[k]]
+            readings = [()] if not places else [(), tuple(places)] if len(places) == 1 else [(), tuple(places), (places[0],), tuple(places[1:])]
+            for names in readings:
+                kinds = [1 if k in names else int(t.kinds[k]) for k in range(i, i + 8)]
+                tokens = tuple(t.value(i + k) if x < 0 else x for k, x in enumerate(kinds))
+                if sum(x < 0 for x in kinds) >= decontam.MIN_LITERAL:
+                    expected.add((n, i, tokens))
+    for n, _, at, h, slots, places in got:
+        if slots is not None:
+            t = decontam._Tokens(texts[n].encode() + b"\n")
+            kinds = {p: decontam._KINDS.index(s.split("=")[0]) for p, s in zip(places, slots)}
+            tokens = tuple(kinds[k] if k in kinds else t.value(at + k) for k in range(8))
+            by_hash.setdefault(h, set()).add(tokens)
+            assert (n, at, tokens) in expected
+            expected_left = (n, at, tokens)
+    assert {(n, at) for n, _, at, *_ in got} == {(n, i) for n, x in enumerate(texts) for i in range(len(decontam.template(x)[0]) - 7)}
+    assert len([x for x in got if x[4] is not None]) == len(expected) and expected_left
+    assert all(len(x) == 1 for x in by_hash.values()) and len(set.union(*by_hash.values())) == len(by_hash)
+
+
+def test_long_texts_by_pieces(monkeypatch):
+    texts = [f"{PROSE}. {ITEM} " * 3, "x" * 500 + " " + ITEM, ITEM, "y" * 3000]
+    every = np.full(1, 255, np.uint8)
+    whole = sorted(map(repr, decontam._rows([1, 2, 3, 4], texts, [5, 8], every)))
+    monkeypatch.setattr(decontam, "_BLOCK", 60)
+    assert sorted(map(repr, decontam._rows([1, 2, 3, 4], texts, [5, 8], every))) == whole
+
+
+def test_small_sieve_loses_nothing(spark, monkeypatch):
     texts = [f"{PROSE}. {ITEM}", PROSE, ITEM.replace("12", "13")]
     before = {k: tuple(v) for k, v in _found(spark, texts).items()}
-    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontam, "SIEVE_BITS", 16)
     assert {k: tuple(v) for k, v in _found(spark, texts).items()} == before
 
 
+def test_names_that_start_sentences(spark):
+    items = [(1, "Alice has 5 apples and 3 pears."), (2, "Tom ran 5km in 20 minutes. How far does Tom run in two hours?")]
+    texts = [
+        "Bob has 7 apples and 9 pears.", f"{PROSE}. Bob has 7 apples and 9 pears. {PROSE}", "Nobody had apples and pears at all.",
+        "Jane ran 8 km in 35 minutes. How far does Jane run in three hours?", "When Jane ran 9km in 7 min, how far does Jane run in 12 hours?",
+    ]
+    got = {k: r["item_ids"] for k, r in _found(spark, texts, items).items()}
+    assert got == {0: [1], 1: [1], 3: [2], 4: [2]}
+
+
+def test_units_and_signs():
+    assert decontam.template("It costs $5 or €7, at 30km/h for five hours")[0] == (
+        "it costs <number> or <number> at <number> <unit> <unit> for <number> <unit>".split()
+    )
+
+
+def test_many_items_of_one_template(spark):
+    item = lambda n, who: f"If {who} has {n} apples and gives {n + 1} apples to Bob then how many apples does {who} keep?"
+    items = [(i, item(i + 3, ("Alice", "Carla")[i % 2])) for i in range(40)] + [(99, "An item of its own that nothing else in these texts is like at all.")]
+    got = _found(spark, [item(7, "Zoe"), item(4, "Carla"), PROSE], items)
+    assert set(got) == {0, 1} and got[0]["item_ids"] == got[1]["item_ids"] == list(range(40))
+    assert got[0]["reworded"] and not got[1]["reworded"]
+
+
 def test_short_items_and_awkward_rows(spark):
     items = [(1, ITEM), (2, "red green blue yellow mauve"), (3, "too short"), (None, PROSE), (4, None), (5, "")]
     got = _found(spark, ["so red green blue yellow mauve it is", PROSE, "too short", ""], items)
