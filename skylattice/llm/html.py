@@ -1,13 +1,16 @@
 """Main text of web pages by a linear-chain conditional random field over leaf blocks.
 
-A page is cut into leaf blocks: the text between block-level tags, in page order. Scripts, styles, comments, form
-controls and the like are no text. Each block has features from the tags around it (names, and words of their class, id
-and role), from its own tag, and from its text. A conditional random field labels every block as main text or not; its
+A page is cut into leaf blocks: the text between block-level tags, in page order. Scripts, styles, markup comments, form
+controls and drawings are no text. Each block has features from the tags around it (their names, the words of their
+class, id and role, the last word of each apart from those before it, and whether main text lies within what is beside
+it or the other way round), from its own tag, and from its text. Nothing is dropped for one name, nor for being hidden:
+these are features like others. A conditional random field labels every block as main text or not; its
 weights, also those of neighbouring labels, are trained here on labelled pages by gradient ascent on the likelihood,
 and Viterbi decoding gives the best labelling of a page. The main text is the blocks labelled so.
 
 The labelled pages are generated: articles in several layouts, with the furniture that pages have around and inside
-them, each block's label known.
+them, each block's label known. Names mislead in some of them: articles whose classes speak of sidebars and headers,
+and furniture named after the article it belongs to.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ RAW_IF_CLOSED = frozenset("iframe textarea".split())
 #: Form parts have no text; left open, they end with their parent, or where a block or the same part starts.
 FORM_PARTS = frozenset("button select option optgroup datalist".split())
 #: What stands in these is no text if they have an end tag in their parent; else they are like other elements.
-REPLACED = frozenset("noscript template object svg canvas".split())
+REPLACED = frozenset("template svg canvas".split())
 #: Elements that end when another block starts in them.
 ENDS_AT_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 dt dd".split())
 
@@ -52,6 +55,11 @@ NAMES_BESIDE = {
     "social": ("share", "social", "follow", "tags", "author", "meta"),
     "comments": ("comments", "comment", "commentlist", "responses", "replies", "discussion", "disqus"),
 }
+#: Names that stand for main text, and words before a name that only say whether a page has such a thing.
+NAMES_MAIN = "article content post entry main story body text prose".split()
+NAMES_APART = "has with no without hide show is".split()
+_MAIN = frozenset(NAMES_MAIN)
+_APART = frozenset(NAMES_APART)
 _BESIDE = frozenset(x for names in NAMES_BESIDE.values() for x in names)
 #: Longer names are also known by their start, as in sidebarright.
 _STARTS = tuple(sorted(x for x in _BESIDE if len(x) >= 6))
@@ -63,22 +71,49 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>]+)))?""")
+#: A slash that closes the element at once, and is no part of an unquoted value.
+_EMPTY = re.compile(r"(?:^|[\s\"'])/$")
 _UNDISPLAYED = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Block:
-    __slots__ = ("text", "tag", "path", "linked")
+    __slots__ = ("text", "tag", "path", "linked", "hidden")
 
-    def __init__(self, text: str, tag: str, path: tuple[str, ...], linked: int):
-        self.text, self.tag, self.path, self.linked = text, tag, path, linked
+    def __init__(self, text: str, tag: str, path: tuple[str, ...], linked: int, hidden: bool = False):
+        self.text, self.tag, self.path, self.linked, self.hidden = text, tag, path, linked, hidden
+
+
+@lru_cache(maxsize=1 << 14)
+def _named(attributes: str) -> tuple[tuple[str, ...], str]:
+    """Features of an element's class, id and role, and whether they stand for main text (m) or what is beside it (b)."""
+    hints, kinds = [], set()
+    for m in _NAMED.finditer(attributes):
+        for token in (m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in _WORDS.findall(token)]
+            if not words or words[0] in _APART:
+                continue
+            head = words[-1]
+            hints += [f"head={head}", *(f"part={w}" for w in words[:-1])]
+            if head in _BESIDE or len(words) == 1 and head.startswith(_STARTS):
+                kinds.add("b")
+            elif head in _MAIN:
+                kinds.add("m")
+    return tuple(dict.fromkeys(hints)), kinds.pop() if len(kinds) == 1 else ""
+
+
+_TAG_KINDS = {"nav": "b", "aside": "b", "footer": "b", "form": "b", "article": "m", "main": "m"}
 
 
 @lru_cache(maxsize=1 << 14)
 def _longer(path: tuple[str, ...], tag: str, attributes: str) -> tuple[str, ...]:
-    """The names on the way to an element: tags, and words of class, id and role after a point; each once."""
-    hints = (f".{w.lower()}" for m in _NAMED.finditer(attributes) for w in _WORDS.findall(m[1] or m[2] or m[3] or ""))
-    return tuple(dict.fromkeys((*path, tag, *hints)))
+    """The way to an element: first the order of main text and what is beside it, the last two of them; then features."""
+    hints, kind = _named(attributes) if tag not in ("html", "body") else ((), "")
+    order, *rest = path or ("order=",)
+    for k in (_TAG_KINDS.get(tag, ""), kind):
+        if k and order[-1] != k:
+            order = f"order={(order[6:] + k)[-2:]}"
+    return tuple(dict.fromkeys((order, *rest, f"in={tag}", *hints)))
 
 
 @lru_cache(maxsize=1 << 14)
@@ -114,9 +149,10 @@ def blocks(page: str | None) -> list[Block]:
     """Leaf blocks of a page in order, character references decoded, white space made single."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, bool, tuple[str, ...], str, bool]] = []  # tag, hidden, names on the way, nearest block, blocks stay inside
+    # tag, whether it has no text (1) or is hidden (2), the way to it, nearest block, whether blocks stay inside
+    stack: list[tuple[str, int, tuple[str, ...], str, bool]] = []
     parts: list[str] = []
-    linked, at, depth_of_links, hidden = 0, 0, 0, 0
+    linked, at, depth_of_links, hidden, unseen = 0, 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
@@ -124,14 +160,15 @@ def blocks(page: str | None) -> list[Block]:
         parts.clear()
         if text:
             _, _, path, tag, _ = stack[-1] if stack else ("", False, (), "body", False)
-            out.append(Block(text, tag, path, linked))
+            out.append(Block(text, tag, path, linked, bool(unseen)))
         linked = 0
 
     def pop() -> None:
-        nonlocal depth_of_links, hidden
-        tag, was_hidden, _, _, _ = stack.pop()
+        nonlocal depth_of_links, hidden, unseen
+        tag, how, _, _, _ = stack.pop()
         depth_of_links -= tag == "a"
-        hidden -= was_hidden
+        hidden -= how & 1
+        unseen -= how >> 1
 
     def add(raw: str) -> None:
         nonlocal linked
@@ -166,7 +203,7 @@ def blocks(page: str | None) -> list[Block]:
                 pop()
         elif tag == "br":
             parts.append(" ")
-        if tag in VOID_TAGS or m[3].endswith("/"):
+        if tag in VOID_TAGS or _EMPTY.search(m[3]):
             continue
         if tag in RAW_TAGS or tag in RAW_IF_CLOSED:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at) if tag not in open_to_end else None
@@ -176,17 +213,20 @@ def blocks(page: str | None) -> list[Block]:
                 open_to_end.add(tag)
             parts.append(" ")
             continue
-        is_hidden, stays = bool(m[3]) and _hides(m[3]), False
+        how, stays = 2 * (bool(m[3]) and _hides(m[3])), False
+        if how and tag in BLOCK_TAGS and not unseen:
+            flush()
         if tag in FORM_PARTS or tag in REPLACED:
             parts.append(" ")
             if tag in FORM_PARTS and stack and (stack[-1][0] == tag or (stack[-1][0] == "option" and tag == "optgroup")):
                 pop()
             stays = tag != "option" and _closed(page, at, tag, stack[-1][3] if stack else "body")
-            is_hidden = is_hidden or stays or tag in FORM_PARTS
+            how |= stays or tag in FORM_PARTS
         _, _, path, near, _ = stack[-1] if stack else ("", False, (), "body", False)
-        stack.append((tag, is_hidden, _longer(path, tag, m[3]), tag if tag in BLOCK_TAGS else near, stays))
+        stack.append((tag, how, _longer(path, tag, m[3]), tag if tag in BLOCK_TAGS else near, stays))
         depth_of_links += tag == "a"
-        hidden += is_hidden
+        hidden += how & 1
+        unseen += how >> 1
     add(page[at:])
     flush()
     return out
@@ -194,9 +234,9 @@ def blocks(page: str | None) -> list[Block]:
 
 @lru_cache(maxsize=1 << 14)
 def _structure(tag: str, path: tuple[str, ...]) -> tuple[str, ...]:
-    named = any(x[1:] in _BESIDE or x[1:].startswith(_STARTS) for x in path if x[0] == ".")
-    tagged = any(x in ("nav", "aside", "footer", "header", "form") for x in path)
-    return (f"tag={tag}", *(f"in={x}" for x in path), "a name beside" if named else "no name beside", "a tag beside" if tagged else "no tag beside")
+    beside = any(x[:5] == "head=" and (x[5:] in _BESIDE or x[5:].startswith(_STARTS)) for x in path)
+    tagged = any(x in ("in=nav", "in=aside", "in=footer", "in=header", "in=form") for x in path)
+    return (f"tag={tag}", *path, "a name beside" if beside else "no name beside", "a tag beside" if tagged else "no tag beside")
 
 
 def features(page_blocks: list[Block]) -> list[tuple[tuple[str, ...], tuple[str, ...]]]:
@@ -211,6 +251,7 @@ def features(page_blocks: list[Block]) -> list[tuple[tuple[str, ...], tuple[str,
                     "words=1" if words == 1 else "words=2-4" if words < 5 else "words=5-9" if words < 10 else "words=10-24" if words < 25 else "words=25+",
                     "links=0" if share == 0 else "links<1/3" if share < 0.33 else "links<3/4" if share < 0.75 else "links=most",
                     "ends a sentence" if text[-1] in ".!?…\"”»" else "ends otherwise",
+                    "hidden" if b.hidden else "",
                     "copyright" if "©" in text or "ll rights reserved" in text else "",
                     "separators" if text.count("|") + text.count("·") + text.count("»") >= 2 else "",
                     "first" if i == 0 else "",
@@ -269,32 +310,44 @@ def fit(pages: list[list[tuple]], labels: list[list[int]], rounds: int = 70, rat
         for structure, rest in page:
             for f in filter(None, (*structure, *rest)):
                 names.setdefault(f, len(names))
-    coded = [[np.array([names[f] for f in filter(None, (*structure, *rest))]) for structure, rest in page] for page in pages]
+    lengths = np.array([len(page) for page in pages])
+    keep = np.flatnonzero(lengths)  # pages without blocks tell nothing
+    pages, labels, lengths = [pages[i] for i in keep], [labels[i] for i in keep], lengths[keep]
+    rows = [[names[f] for f in filter(None, (*structure, *rest))] for page in pages for structure, rest in page]
+    feature = np.array([f for row in rows for f in row])
+    row_of = np.repeat(np.arange(len(rows)), [len(row) for row in rows])
+    starts = np.concatenate([[0], np.cumsum([len(row) for row in rows])[:-1]])
+    page_of = np.repeat(np.arange(len(pages)), lengths)
+    place = np.arange(len(rows)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    n, longest = len(pages), int(lengths.max())
+    truth = np.array([y for page in labels for y in page])
+    # A page is a row of ``longest`` places; what is beyond its end changes nothing.
+    held = np.arange(longest)[None, :] < lengths[:, None]
+    real = np.zeros((len(rows), 2))
+    real[np.arange(len(rows)), truth] = 1
+    seen_steps = np.zeros((2, 2))
+    np.add.at(seen_steps, (truth[:-1][page_of[:-1] == page_of[1:]], truth[1:][page_of[:-1] == page_of[1:]]), 1)
     theta = np.zeros(2 * len(names) + 4)
     squares = np.full(len(theta), 1e-8)
     for _ in range(rounds):
         w, t = theta[:-4].reshape(-1, 2), theta[-4:].reshape(2, 2)
-        grad_w, grad_t = -penalty * w, -penalty * t
-        for page, truth in zip(coded, labels):
-            emit = np.array([w[f].sum(0) for f in page])
-            n = len(emit)
-            forward, backward = emit.copy(), np.zeros((n, 2))
-            for i in range(1, n):
-                forward[i] += np.logaddexp(forward[i - 1][0] + t[0], forward[i - 1][1] + t[1])
-            for i in range(n - 2, -1, -1):
-                ahead = emit[i + 1] + backward[i + 1]
-                backward[i] = np.logaddexp(t[:, 0] + ahead[0], t[:, 1] + ahead[1])
-            whole = np.logaddexp(*forward[-1])
-            single = np.exp(forward + backward - whole)
-            for i in range(n):
-                delta = -single[i]
-                delta[truth[i]] += 1
-                np.add.at(grad_w, page[i], delta)
-            for i in range(1, n):
-                both = np.exp(forward[i - 1][:, None] + t + (emit[i] + backward[i])[None, :] - whole)
-                grad_t -= both
-                grad_t[truth[i - 1], truth[i]] += 1
-        gradient = np.concatenate([grad_w.reshape(-1), grad_t.reshape(-1)]) / len(coded)
+        emit = np.zeros((n, longest, 2))
+        emit[page_of, place] = np.add.reduceat(w[feature], starts, axis=0)
+        forward, backward = emit.copy(), np.zeros((n, longest, 2))
+        for i in range(1, longest):
+            ahead = emit[:, i] + np.logaddexp(forward[:, i - 1, :1] + t[0], forward[:, i - 1, 1:] + t[1])
+            forward[:, i] = np.where(held[:, i, None], ahead, forward[:, i - 1])
+        for i in range(longest - 2, -1, -1):
+            ahead = emit[:, i + 1] + backward[:, i + 1]
+            both = np.logaddexp(t[:, 0] + ahead[:, :1], t[:, 1] + ahead[:, 1:])
+            backward[:, i] = np.where(held[:, i + 1, None], both, 0)
+        whole = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
+        single = np.exp(forward + backward - whole[:, None, None])
+        delta = real - single[page_of, place]
+        grad_w = np.stack([np.bincount(feature, delta[row_of, k], len(names)) for k in (0, 1)], axis=1)
+        pairs = forward[:, :-1, :, None] + t + (emit + backward)[:, 1:, None, :] - whole[:, None, None, None]
+        grad_t = seen_steps - np.exp(pairs[held[:, 1:]]).sum(0)
+        gradient = (np.concatenate([grad_w.reshape(-1), grad_t.reshape(-1)]) - penalty * theta) / n
         squares += gradient**2
         theta += rate * gradient / np.sqrt(squares)
     return Crf(names, theta[:-4].reshape(-1, 2).copy(), theta[-4:].reshape(2, 2).copy())
@@ -304,7 +357,7 @@ def fit(pages: list[list[tuple]], labels: list[list[int]], rounds: int = 70, rat
 
 MAIN = "\x01"
 #: Labelled pages that the model is fitted to, and the seed of their generator.
-PAGES, SEED = 300, 11
+PAGES, SEED = 500, 11
 
 
 def labelled_page(r: random.Random) -> str:
@@ -327,7 +380,24 @@ def labelled_page(r: random.Random) -> str:
     def links(n: int, sep: str = "", item: str = '<li><a href="/x">{}</a></li>') -> str:
         return sep.join(item.format(words(1, 3)) for _ in range(n))
 
+    def misleading() -> str:
+        """A name of the article's own that has a word for something else in it."""
+        beside = r.choice(NAMES_BESIDE[r.choice(list(NAMES_BESIDE))])
+        of = word()
+        return r.choice([f"{beside}-{r.choice(NAMES_MAIN)}", f"{beside}-{of}-{r.choice(NAMES_MAIN)}", f"{beside}-{of}", f"{r.choice(NAMES_APART)}-{beside}", f"{of} {beside}-{of}"])
+
     def main_block() -> str:
+        made = plain_block()
+        if r.random() < 0.12:
+            made = made.replace(">", f' class="{r.choice([misleading(), word(), r.choice(NAMES_MAIN)])}">', 1)
+        if r.random() < 0.03:
+            made = made.replace(">", r.choice([" hidden>", ' style="display:none">']), 1)
+        if r.random() < 0.03:
+            tag = r.choice(["noscript", "object", "details", "figure"])
+            made = f"<{tag}>{made}</{tag}>"
+        return made
+
+    def plain_block() -> str:
         kind = r.random()
         if kind < 0.1:
             return f"<h2>{MAIN}{words(1, 6)}</h2>"
@@ -346,6 +416,10 @@ def labelled_page(r: random.Random) -> str:
         return f"<p>{MAIN}{prose()}" + r.choice(["</p>", "</p>", "</p>", ""])
 
     def furniture(place: str) -> str:
+        made = plain_furniture(place)
+        return made.replace(">", r.choice([" hidden>", ' style="display:none">', ' aria-hidden="true">']), 1) if r.random() < 0.08 else made
+
+    def plain_furniture(place: str) -> str:
         """What isn't main text: by an element made for it, or by a name; its content is of any kind."""
         content = r.choice(
             [
@@ -365,10 +439,13 @@ def labelled_page(r: random.Random) -> str:
             name = r.choice(NAMES_BESIDE["comments"])
             tag = r.choice(["section", "div", "ol"])
             return f'<{tag} class="{name}"><h3>{words(1, 2)}</h3>' + "".join(comment() for _ in range(r.randint(1, 4))) + f"</{tag}>"
+        if kind < 0.52 and place != "inside":
+            return f"<noscript>{prose(1, 1)}</noscript>"
         if kind < 0.6 and place == "after":
             return f'<footer>&copy; {words(1, 3)} &middot; {prose(1, 1)}</footer>'
         name = r.choice(NAMES_BESIDE[r.choice([k for k in NAMES_BESIDE if k != "comments"])])
-        name = r.choice(["site-", "page-", "top-", "", "", ""]) + name + r.choice(["-box", "-wrapper", "-1", "", "", ""])
+        before = r.choice(["site-", "page-", "top-", f"{r.choice(NAMES_MAIN)}-", "", "", "", ""])
+        name = before + name + ("" if r.random() < 0.7 else r.choice([" box", "_wrapper" if not before else "", "-1", f" {word()}"]))
         tag = r.choice(["div", "div", "div", "section", "p"])
         how = r.choice(["class", "class", "id", "role"])
         return f'<{tag} {how}="{name}">{prose(1, 2) if tag == "p" else content()}</{tag}>'
@@ -378,12 +455,17 @@ def labelled_page(r: random.Random) -> str:
          ('<div class="post-body entry">', "</div>"), ("<main><article>", "</article></main>"), ('<div class="article-text">', "</div>"), ("<div>", "</div>"),
          ('<div role="main">', "</div>"), ('<section class="post"><div class="post-content">', "</div></section>"), ('<div class="wrap"><div class="body story">', "</div></div>"), ("", "")]
     )
+    if opening and r.random() < 0.3:  # a wrapper of the whole, or the article itself, is named after something else too
+        name = misleading()
+        opening, closing = r.choice([(f'<div class="{name}">{opening}', f"{closing}</div>"), (f'{opening}<div class="{name}">', f"</div>{closing}"), (f'<div class="{name}">', "</div>")])
     body = [f"<h1>{MAIN}{words(1, 9)}{r.choice(['', '.', '&amp;'])}</h1>"] * r.choice([0, 1, 1, 1]) + [main_block() for _ in range(r.randint(1, 12))]
     for _ in range(r.choice([0, 0, 1, 2, 3])):
         body.insert(r.randint(1, len(body)), furniture("inside"))
     head = f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{words(2, 8)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>'
     most = r.choice([0, 2, 4, 4])
     before, after = ("".join(furniture(place) for _ in range(r.randint(0, most))) for place in ("before", "after"))
+    if r.random() < 0.2:
+        before, after = f'<div class="{misleading()}">{before}', f"{after}</div>"
     return r.choice([head, head, ""]) + before + opening + "".join(body) + closing + after + r.choice(["</body></html>", ""])
 
 
