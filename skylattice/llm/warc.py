@@ -3,30 +3,27 @@
 Writing: one record per page, of type ``response`` with an HTTP head and the payload, or of type ``revisit`` with the
 head alone where another page has the same payload. Files are cut at about ``FILE_BYTES``.
 
-Reading: a task looks for the version line in its file and takes every place with a readable header as a candidate,
-also inside payloads. A candidate's length gives its successor's offset. Inside a block of ``BLOCK_BYTES`` chains are
-followed in the task, which leaves for each candidate the offset where its chain leaves the block. From the file's
-start these exits are then followed by pointer jumping: the reached set doubles its length in each step. Candidates on
-the chain from a block's reached entry are records; all others are rejected, as their bytes belong to a payload.
+Reading: the version line is the separator by which Spark's text source cuts the files, so tasks read ranges of bytes and
+no file is held whole. Every piece that starts with a readable header is a candidate, also inside payloads; its place
+is the sum of what lies before it, its length gives its successor's offset. Inside a range chains are followed over the
+offsets alone, which leaves for each candidate the offset where its chain leaves the range. From the file's start these
+exits are then followed by pointer jumping: the reached set doubles its length in each step. Candidates on the chain
+from a range's reached entry are records; all others are rejected, as their bytes belong to a payload. Records whose
+payload holds the version line are put together again from their pieces.
 """
 
 from __future__ import annotations
 
-import base64
-import hashlib
-import re
 import uuid
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skylattice.llm.common import cut, shared_dir
 
 FILE_BYTES = 32 << 20
-BLOCK_BYTES = 4 << 20
 #: Groups of equal payloads that go to every task; beyond, they are joined by a shuffle.
 BROADCAST_GROUPS = 100_000
 
@@ -102,84 +99,113 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes:
     rows.select(record.alias("value")).write.mode("overwrite").option("lineSep", _CRLF * 2).option("maxRecordsPerFile", per_file).text(path)
 
 
-_MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
-_FIELD = re.compile(rb"\r\n([A-Za-z-]+):[ \t]*([^\r\n]*)")
-
-_SCHEMA = T.StructType(
-    [T.StructField(n, t) for n, t in (
-        ("file", T.StringType()), ("size", T.LongType()), ("block", T.IntegerType()), ("at", T.LongType()), ("leaves_to", T.LongType()),
-        ("first", T.LongType()), ("last", T.LongType()), ("page_id", T.StringType()), ("payload_bytes", T.LongType()),
-        ("payload_digest", T.StringType()), ("record_type", T.StringType()), ("refers_to", T.StringType()),
-    )]
-)
-
-
-def _candidate(content: bytes, at: int):
-    """(successor's offset, fields) of the record that would start here, or None."""
-    end = content.find(b"\r\n\r\n", at)
-    if end < 0:
-        return None
-    head = content[at:end]
-    fields = {k.lower(): v for k, v in _FIELD.findall(head)}
-    length = fields.get(b"content-length", b"")
-    if not length.isdigit() or b"warc-type" not in fields:
-        return None
-    after = end + 4 + int(length) + 4
-    if after > len(content) or content[after - 4 : after] != b"\r\n\r\n":
-        return None
-    return after, end + 4, fields
-
-
-def _parsed(content: bytes, after: int, body_at: int, fields: dict) -> tuple:
-    text = lambda k: fields[k].decode("utf-8", "replace") if k in fields else None
-    ident = lambda v: v[1:-1].removeprefix(_RECORD_ID) if v else None
-    kind = text(b"warc-type")
-    block = content[body_at : after - 4]
-    http_end = block.find(b"\r\n\r\n")
-    http, payload = (block[:http_end], block[http_end + 4 :]) if http_end >= 0 else (b"", block)
-    if kind == "revisit":
-        m = re.search(rb"(?i)\ncontent-length:[ \t]*([0-9]+)", http)
-        n, digest = int(m[1]) if m else None, (text(b"warc-payload-digest") or "").removeprefix("sha1:") or None
-    else:
-        n, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    return ident(text(b"warc-record-id")), n, digest, kind, ident(text(b"warc-refers-to"))
-
-
-def chains(content: bytes, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple]:
-    """Rows of all candidates of a file: block, offset, where its chain leaves the block, place in the block's forest.
-
-    In a block each candidate hangs below its successor. The numbers ``first`` to ``last`` of a candidate enclose those
-    of all candidates below it, so an entry's chain consists of the candidates whose numbers enclose the entry's.
+_ENDS = _CRLF * 2
+
+
+def _pieces(spark: SparkSession, path: str, magic: str) -> DataFrame:
+    """What lies between the version lines: ``file``, ``size``, ``block`` (start of the range), ``id`` (rising), ``value``."""
+    files = spark.read.option("lineSep", magic).option("pathGlobFilter", "part-*").text(path)
+    return files.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"), "value",
+    )
+
+
+def _field(head: str, name: str) -> Column:
+    return F.regexp_extract(head, rf"(?i)(?:^|\r\n){name}:[ \t]*([^\r\n]*)", 1)
+
+
+def _payload_of(block: Column) -> tuple[Column, Column]:
+    """The HTTP head of a record's block and the bytes after it; without a head all are payload."""
+    text = block.cast("string")
+    head = F.when(F.contains(text, F.lit(_ENDS)), F.substring_index(text, _ENDS, 1))
+    return head, F.when(head.isNull(), block).otherwise(F.substring(block, F.octet_length(head) + 5, F.octet_length(block)))
+
+
+def candidates(spark: SparkSession, path: str, version: str = VERSION) -> DataFrame:
+    """All pieces: ``file``, ``size``, ``block``, ``seq`` (number in the range), ``at`` (where the version line before it
+    starts), and of those that could be records ``jump`` (to the successor) and the fields; of others ``jump`` is null.
     """
-    found = {m.start(): c for m in _MAGIC.finditer(content) if (c := _candidate(content, m.start()))}
-    offsets = sorted(found)
-    same = lambda a, b: b in found and a // block_bytes == b // block_bytes
+    magic = version + _CRLF
+    digits = F.col("length").rlike("^[0-9]{1,15}$")
+    raw = F.col("value").cast("binary")
+    http, payload = _payload_of(F.col("body"))
+    plain = lambda c: F.regexp_replace(c, rf"^<(?:{_RECORD_ID})?|>$", "")
+    rows = (
+        _pieces(spark, path, magic)
+        .withColumn("head", F.when(F.contains("value", F.lit(_ENDS)), F.substring_index("value", _ENDS, 1)))
+        .withColumns({"length": _field("head", "Content-Length"), "kind": _field("head", "WARC-Type"), "after": F.octet_length("head") + 4})
+        .withColumn("length", F.when(digits & (F.col("kind") != ""), F.col("length").cast("bigint")))
+        .withColumn("whole", F.octet_length("value") >= F.col("after") + F.col("length") + 4)
+        # Two line ends must follow a record; of one that goes on in other pieces the successor tells.
+        .withColumn("ends", F.coalesce(~F.col("whole") | (F.substring(raw, (F.col("after") + F.col("length") + 1).cast("int"), F.lit(4)) == F.lit(_ENDS.encode())), F.lit(False)))
+        .withColumn("body", F.when(F.col("whole") & F.col("ends"), F.substring(raw, F.col("after") + 1, F.col("length").cast("int"))))
+        .withColumns({"http": http, "payload": payload})
+    )
+    cut_up = cut(
+        rows.select(
+            "file", "size", "block", "id", F.octet_length("value").alias("bytes"), "after", "length", "whole",
+            F.when(F.col("ends"), len(magic) + F.col("after") + F.col("length") + 4).alias("jump"),
+            plain(_field("head", "WARC-Record-ID")).alias("page_id"), F.col("kind").alias("record_type"),
+            plain(_field("head", "WARC-Refers-To")).alias("refers_to"),
+            *_told("kind", "head", "http", "payload"),
+        )
+    )
+    length = F.col("bytes") + len(magic)
+    before = Window.partitionBy("file", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = cut_up.groupBy("file", "block").agg(F.sum(length).alias("in_range"), F.min("id").alias("first_id"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranges.select("file", "block", "first_id", F.coalesce(F.sum("in_range").over(earlier), F.lit(0)).alias("base"))
+    placed = cut_up.withColumn("inside", F.coalesce(F.sum(length).over(before), F.lit(0))).join(bases, ["file", "block"])
+    placed = placed.withColumn("at", F.col("base") + F.col("inside") - len(magic)).withColumn("seq", F.col("id") - F.col("first_id"))
+    fits = (F.col("at") >= 0) & (F.col("at") + F.col("jump") <= F.col("size"))
+    return cut(placed.withColumn("jump", F.when(fits, F.col("jump"))).drop("base", "inside", "id", "first_id"))
+
+
+def _told(kind: str, head: str, http: str, payload: str) -> list[Column]:
+    """Size and digest of a record's payload: made anew, but for revisits as the record tells them."""
+    revisit = F.col(kind) == "revisit"
+    told = F.regexp_replace(F.regexp_extract(head, r"(?i)(?:^|\r\n)WARC-Payload-Digest:[ \t]*([^\r\n]*)", 1), "^sha1:", "")
+    n = F.regexp_extract(http, r"(?i)(?:^|\r\n)Content-Length:[ \t]*([0-9]+)", 1)
+    return [
+        F.when(revisit, F.when(n != "", n.cast("bigint"))).otherwise(F.octet_length(payload).cast("bigint")).alias("payload_bytes"),
+        F.when(revisit, F.when(told != "", told)).otherwise(base32_sha1(F.col(payload))).alias("payload_digest"),
+    ]
+
+
+_FOREST = T.StructType([T.StructField(n, t) for n, t in (
+    ("file", T.StringType()), ("block", T.LongType()), ("at", T.LongType()), ("leaves_to", T.LongType()), ("first", T.LongType()), ("last", T.LongType()))])
+
+
+def chains(offsets: list[int], successors: list[int]) -> list[tuple[int, int, int]]:
+    """Of the candidates of a range, in order: where the chain leaves the range, and the place in the range's forest.
+
+    Each candidate hangs below its successor. The numbers ``first`` to ``last`` of a candidate enclose those of all
+    candidates below it, so an entry's chain consists of the candidates whose numbers enclose the entry's.
+    """
+    found = dict(zip(offsets, successors))
     below = dict.fromkeys(offsets, 1)
     for at in offsets:
-        if same(at, found[at][0]):
-            below[found[at][0]] += below[at]
+        if found[at] in found:
+            below[found[at]] += below[at]
     first, free, leave, fresh = {}, {}, {}, 0
     for at in reversed(offsets):
-        after = found[at][0]
-        if same(at, after):
+        after = found[at]
+        if after in found:
             first[at], leave[at] = free[after], leave[after]
             free[after] += below[at]
         else:
             first[at], leave[at] = fresh, after
             fresh += below[at]
         free[at] = first[at] + 1
-    for at in offsets:
-        yield at // block_bytes, at, leave[at], first[at], first[at] + below[at] - 1, *_parsed(content, *found[at])
-
+    return [(leave[at], first[at], first[at] + below[at] - 1) for at in offsets]
 
-def candidates(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, size, content in zip(batch["path"], batch["length"], batch["content"]):
-                yield pd.DataFrame([(file, size, *row) for row in chains(content, block_bytes)], columns=_SCHEMA.names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "length", "content").mapInPandas(scan, _SCHEMA)
+def _forest(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values("at")
+    made = chains(group["at"].tolist(), group["to"].tolist())
+    leave, first, last = zip(*made)
+    return pd.DataFrame({"file": group["file"].to_numpy(), "block": group["block"].to_numpy(), "at": group["at"].to_numpy(), "leaves_to": leave, "first": first, "last": last})
 
 
 def reached(exits: DataFrame, max_steps: int = 40) -> DataFrame:
@@ -200,31 +226,62 @@ def reached(exits: DataFrame, max_steps: int = 40) -> DataFrame:
     raise RuntimeError("the chain of blocks did not end")
 
 
-def read_archives(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES, strict: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, strict: bool = True, version: str = VERSION) -> DataFrame:
     """Per record: ``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``.
 
     Digest and size are of the full payload: made anew for responses, told by the record for revisits. ``strict``: an
     archive whose chain doesn't end at the file's end is damaged and raises; otherwise the records before the damage
-    are returned. Empty files have no records.
+    are returned. Empty files have no records. Ranges are as long as ``spark.sql.files.maxPartitionBytes`` has them.
     """
-    found = cut(candidates(spark, path, block_bytes))
+    pieces = candidates(spark, path, version)
+    links = pieces.where("jump is not null").select("file", "block", "at", (F.col("at") + F.col("jump")).alias("to"))
+    found = cut(links.groupBy("file", "block").applyInPandas(_forest, _FOREST))
     targets = found.select("file", F.col("leaves_to").alias("at")).distinct()
     entries = found.join(targets, ["file", "at"], "left_semi").unionByName(found.where("at = 0"))
     exits = cut(entries.select("file", "at", F.col("leaves_to").alias("to")).distinct())
     known = reached(exits)
     if strict:
         ends = known.groupBy("file").agg(F.max("at").alias("end"))
-        sizes = found.groupBy("file").agg(F.max("size").alias("size"))
+        sizes = pieces.groupBy("file").agg(F.max("size").alias("size"))
         bad = sizes.join(ends, "file", "left").where("end is null or end <> size").select("file").first()
         if bad:
             raise ValueError(f"the records of {bad['file']} don't reach its end")
     starts = found.join(known, ["file", "at"], "left_semi").select("file", "block", F.col("first").alias("entry"))
-    return found.join(starts, ["file", "block"]).where("entry between first and last").select(
+    chain = found.join(starts, ["file", "block"]).where("entry between first and last").select("file", "at")
+    records = pieces.join(chain, ["file", "at"])
+    split = cut(records.where("not whole").select("file", "at", "block", "seq", "size", "jump", "after", "length", "page_id", "record_type", "refers_to"))
+    out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    records = records.where("whole").select(*out)
+    if not split.isEmpty():
+        inner = pieces.join(chain, ["file", "at"], "left_anti").where("at >= 0").select("file", "at", "block", "seq")
+        records = records.unionByName(_joined(spark, path, version + _CRLF, split, inner).select(*out))
+    return records.select(
         F.col("page_id").try_cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").try_cast("bigint").alias("refers_to")
     )
 
 
-def round_trip(pages: DataFrame, min_bytes: int = 0, file_bytes: int = FILE_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _joined(spark: SparkSession, path: str, magic: str, split: DataFrame, inner: DataFrame) -> DataFrame:
+    """The records that consist of several pieces: their heads are in ``split``, ``inner`` has what no chain reaches."""
+    known = ["jump", "after", "length", "page_id", "record_type", "refers_to"]
+    owner = F.last(F.when(F.col("jump").isNotNull(), F.struct("at", *known)), True).over(Window.partitionBy("file").orderBy("at"))
+    parts = split.drop("size").unionByName(inner, allowMissingColumns=True).withColumn("of", owner)
+    parts = cut(parts.where("at < of.at + of.jump").select("file", "block", "seq", "at", "of"))
+    ranges = parts.select("file", "block").distinct()
+    number = F.row_number().over(Window.partitionBy("file", "block").orderBy("id")) - 1
+    values = _pieces(spark, path, magic).join(ranges, ["file", "block"], "left_semi").withColumn("seq", number.cast("bigint"))
+    met = parts.join(values.select("file", "block", "seq", "value"), ["file", "block", "seq"])
+    whole = met.groupBy("file", F.col("of.at").alias("start")).agg(
+        F.first("of").alias("of"), F.sort_array(F.collect_list(F.struct("at", "value"))).alias("pieces")
+    )
+    text = F.array_join(F.transform("pieces", lambda p: p["value"]), magic)
+    body = F.substring(text.cast("binary"), F.col("of.after") + 1, F.col("of.length").cast("int"))
+    rows = whole.select("of.*", body.alias("body"), F.substring_index(F.col("pieces")[0]["value"], _ENDS, 1).alias("head"))
+    http, payload = _payload_of(F.col("body"))
+    rows = rows.withColumns({"http": http, "payload": payload})
+    return rows.select("page_id", "record_type", "refers_to", *_told("record_type", "head", "http", "payload"))
+
+
+def round_trip(pages: DataFrame, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the archives of all pages to the shared folder, reads them back and removes them.
 
     See ``write_archives`` and ``read_archives``. An empty table gives no rows; other columns are not looked at.
@@ -233,7 +290,7 @@ def round_trip(pages: DataFrame, min_bytes: int = 0, file_bytes: int = FILE_BYTE
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     try:
         write_archives(pages, path, min_bytes, file_bytes)
-        return cut(read_archives(spark, path, block_bytes))
+        return cut(read_archives(spark, path))
     finally:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -30,12 +30,32 @@ def _expected(rows, least=0):
     return sorted(map(repr, out))
 
 
-@pytest.mark.parametrize("file_bytes,block_bytes", [(warc.FILE_BYTES, warc.BLOCK_BYTES), (300, 64), (3000, 200), (1 << 20, 500)])
-def test_round_trip(spark, file_bytes, block_bytes):
-    got = warc.round_trip(_pages(spark, ROWS).coalesce(2), 0, file_bytes, block_bytes).collect()
+@pytest.mark.parametrize("file_bytes,range_bytes", [(warc.FILE_BYTES, 1 << 27), (300, 1 << 20), (1 << 20, 4000)])
+def test_round_trip(spark, file_bytes, range_bytes):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", range_bytes)
+    try:
+        got = warc.round_trip(_pages(spark, ROWS).coalesce(2), 0, file_bytes).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sorted(repr(tuple(r)) for r in got) == _expected(ROWS)
 
 
+def test_chains_against_following_each():
+    import random
+
+    r = random.Random(2)
+    for _ in range(30):
+        offsets = sorted(r.sample(range(100), 25))
+        to = [r.choice([x for x in [*offsets, 100, 101, 150] if x > at]) for at in offsets]
+        got, after = warc.chains(offsets, to), dict(zip(offsets, to))
+        for start, (leave, first, _) in zip(offsets, got):
+            walk, at = set(), start
+            while at in after:
+                walk.add(at)
+                at = after[at]
+            assert at == leave and walk == {x for x, (_, a, b) in zip(offsets, got) if a <= first <= b}
+
+
 def test_small_payloads_are_never_revisits(spark):
     got = warc.round_trip(_pages(spark, ROWS), min_bytes=10).collect()
     assert sorted(repr(tuple(r)) for r in got) == _expected(ROWS, 10)
@@ -68,5 +88,9 @@ def test_damage(spark, tmp_path):
 def test_candidates_inside_payloads(spark, tmp_path):
     path = str(tmp_path / "w")
     warc.write_archives(_pages(spark, ROWS), path)
-    assert warc.candidates(spark, path).count() > 50 + len(ROWS)
+    found = warc.candidates(spark, path).where("jump is not null").collect()
+    assert len(found) > 50 + len(ROWS)
+    for r in found:
+        data = open(r["file"].removeprefix("file:"), "rb").read()
+        assert data[r["at"] :].startswith(b"WARC/1.1") and data[r["at"] + r["jump"] - 4 : r["at"] + r["jump"]] == b"\r\n\r\n"
     assert warc.read_archives(spark, path).count() == len(ROWS)
