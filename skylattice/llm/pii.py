@@ -2,9 +2,13 @@
 
 Base kinds are found by fixed patterns and always stay: ``email``, ``ip``, ``card`` (Luhn) and ``phone``. Besides,
 generators of high recall propose spans that may overlap: ``number`` (seven digits or more, however grouped),
-``contact`` (addresses spelled with "at" and "dot") and ``secret`` (a value after a word like password). Boosted trees
-on the span's format and on the words around it give each a log-odds; a span is selected above its kind's threshold,
-set on held-out examples. A proposed span that overlaps a base one isn't kept, as the base one stands for it.
+``contact`` (addresses spelled with "at" and "dot"), ``secret`` (a value after a word like password), ``key`` (long runs
+of letters and digits: access keys, bearer and signed tokens), ``iban``, ``ipv6``, ``address`` (a house number and
+capitalised words) and ``name`` (capitalised words after a title or an introduction). Boosted trees on the span's format
+and on the words around it give each a log-odds, which is calibrated to a probability on held-out examples (a logistic
+curve of it); a span is selected if that is above its kind's threshold, the lowest of the precision asked for there. A
+proposed span that overlaps a base one isn't kept, as the base one stands for it. Names without such a word before them
+aren't proposed.
 
 The trees are fitted on the driver to a fixed number of generated examples (``EXAMPLES``), whose features are made by
 the same SQL functions, and then written out as CASE expressions.
@@ -23,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("number", "contact", "secret")
+ADDED = ("number", "contact", "secret", "key", "iban", "ipv6", "address", "name")
 
 #: [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -43,6 +47,16 @@ SECRET = (
     r"[\x22']?\s{0,3}[:=]\s{0,3}[\x22']?[^\s\x22']{4,}"
 )
 
+#: Runs of 16 or more with a digit and a letter among the first 64, dots between them as in signed tokens.
+KEY = r"(?<![A-Za-z0-9_.+/-])(?=[A-Za-z0-9_-]{16})(?=[0-9_-]{0,64}[A-Za-z])(?=[A-Za-z_-]{0,64}[0-9])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]{8,}+)*+"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+IPV6 = r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])"
+ADDRESS = r"(?<![0-9A-Za-z.,-])[0-9]{1,5}[a-z]?\x20(?:[A-Z][a-z]++\x20){0,3}[A-Z][a-z]++(?![A-Za-z])|(?<![A-Za-z])[A-Z][a-zäöüß]++(?:straße|strasse|weg|platz|gasse)\x20[0-9]{1,4}(?![0-9])"
+NAME = (
+    r"(?<=\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra)\.?\x20|\b[Nn]ame(?:\x20is|:)\x20|\bI\x20am\x20|\bI'm\x20|\b[Cc]ontact:?\x20|\b[Dd]ear\x20)"
+    r"[A-Z][a-zà-ÿ]++(?:[\x20-](?:[A-Z]\.\x20)?[A-Z][a-zà-ÿ]++){0,2}"
+)
+
 _SPAN = "array<struct<start:int,stop:int,value:string>>"
 _BLOCK = 256
 
@@ -120,6 +134,18 @@ def luhn(digits: Column) -> Column:
     return (F.char_length(digits) > 0) & (_let(F.reverse(digits), total) % 10 == 0)
 
 
+def iban_remainder(value: Column) -> Column:
+    """The remainder by 97 of an account number, its first four signs put last and letters as 10 to 35: 1 if it is valid."""
+    plain = F.upper(F.regexp_replace(value, "[^0-9A-Za-z]", ""))
+
+    def remainder(x: Column) -> Column:
+        turned = F.concat(F.substring(x, 5, 40), F.substring(x, 1, 4))
+        step = lambda acc, c: F.when(c.between("0", "9"), (acc * 10 + c.try_cast("int")) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
+        return F.aggregate(F.split(turned, ""), F.lit(0), lambda acc, c: F.when(c == "", acc).otherwise(F.coalesce(step(acc, c), acc)))
+
+    return _let(plain, remainder)
+
+
 def base_spans(text: Column) -> dict[str, Column]:
     octet = lambda x: _number(x) <= 255
     return {
@@ -140,13 +166,19 @@ def candidates(text: Column) -> dict[str, Column]:
         "number": spans(text, NUMBER),
         "contact": spans(text, CONTACT),
         "secret": spans(text, SECRET, text.contains("=") | text.contains(":")),
+        "key": spans(text, KEY),
+        "iban": spans(text, IBAN),
+        "ipv6": spans(text, IPV6, text.contains(":")),
+        "address": spans(text, ADDRESS),
+        "name": spans(text, NAME),
     }
 
 
 CONTEXT = 32
 FEATURES = (
     "length", "n_digits", "n_letters", "n_separators", "groups", "luhn", "phone_word", "id_word", "other_word", "telephone_form",
-    "ssn_form", "date_form", "spelled", "value_length", "value_digits", "value_upper", "repeated",
+    "ssn_form", "date_form", "spelled", "value_length", "value_digits", "value_upper", "repeated", "switches", "key_form",
+    "key_word", "hexadecimal", "iban_remainder", "colons", "empty_groups", "street_word", "name_word", "capitals", "uuid_form",
 )
 
 
@@ -170,6 +202,15 @@ def features(text: Column, s: Column) -> Column:
         has(value, r"(?i)(?:\(at\)|\[at\]|(?:\(|\[|\b)dot\b)"),
         F.char_length(tail), count(tail, "[0-9]"), count(tail, "[A-Z]"),
         (F.char_length(F.regexp_replace(_digits(value), r"(.)(?=\1)", "")) * 2 <= count(value, "[0-9]")).cast("int"),
+        count(value, "[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])"),
+        has(value, r"^(?:sk|pk|rk)_(?:live|test)_|^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[opsur]_|^github_pat_|^xox[abprs]-|^glpat-|^AIza|^ya29\.|^eyJ[A-Za-z0-9_-]+\.|^npm_|^hf_|^SG\."),
+        has(before, r"\b(?:bearer|token|secret|key|credentials?|authorization|auth|jwt)\b[^.!?\n]{0,12}$"),
+        has(value, r"^[0-9a-fA-F]+$"),
+        _let(value, iban_remainder), count(value, ":"), count(value, "::"),
+        has(value, r"\b(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Way|Court|Ct|Place|Square|Terrace|Close)$|(?:straße|strasse|weg|platz|gasse)\b"),
+        has(before, r"(?:\b(?:mr|mrs|ms|dr|prof|herr|frau|mme|sra)\.?|\bname(?: is|:))\x20$"),
+        count(value, r"\b[A-Z]"),
+        has(value, r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-"),
     )
     return F.array(*[F.coalesce(x.cast("double"), F.lit(0.0)) for x in out])
 
@@ -219,32 +260,55 @@ def _as_column(node: Node, x: Column) -> Column:
 
 @dataclass
 class Model:
-    """Trees and threshold of one kind; the score is the calibrated log-odds."""
+    """Trees of one kind, the curve that makes their log-odds a calibrated probability, and the threshold of that."""
 
     trees: list[Node]
+    slope: float
+    offset: float
     threshold: float
 
     def score(self, x: Column) -> Column:
+        """The calibrated probability that the span is personal."""
         total = F.lit(0.0)
         for t in self.trees:
             total = total + _as_column(t, x)
-        return total
+        return 1 / (1 + F.exp(-(total * self.slope + self.offset)))
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(sum(_value(t, x) for t in self.trees) * self.slope + self.offset)))
+
+
+def _curve(score: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and offset of the logistic curve of most likelihood, its targets smoothed by the numbers of either label."""
+    positive = y.sum()
+    target = np.where(y == 1, (positive + 1) / (positive + 2), 1 / (len(y) - positive + 2))
+    ab, x = np.array([1.0, 0.0]), np.stack([score, np.ones(len(score))], axis=1)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-(x @ ab)))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        step = np.linalg.solve(hessian, x.T @ (target - p))
+        ab += step / max(1.0, np.abs(step).max())
+    return float(ab[0]), float(ab[1])
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 24, depth: int = 3, rate: float = 0.4, precision: float = 0.98) -> Model:
-    """Logistic gradient boosting on two thirds; the threshold is the lowest that has the precision on the rest."""
+    """Logistic gradient boosting on two thirds; curve and threshold are set on the rest."""
+    if not len(x):
+        return Model([], 1.0, 0.0, float("inf"))
     rest = np.arange(len(x)) % 3 == 2
     xa, ya, score, trees = x[~rest], y[~rest], np.zeros((~rest).sum()), []
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-score))
         trees.append(_grow(xa, ya - p, p * (1 - p), depth, rate))
         score += _value(trees[-1], xa)
-    held = sum(_value(t, x[rest]) for t in trees)
-    thresholds = [t for t in np.unique(held) if t >= 0 and y[rest][held >= t].mean() >= precision]
-    return Model(trees, float(min(thresholds, default=np.inf)) - 1e-9)
+    made = Model(trees, *_curve(sum(_value(t, x[rest]) for t in trees), y[rest]), 0.5)
+    held = made.scores(x[rest])
+    fine = [t for t in np.unique(held) if t >= 0.5 and y[rest][held >= t].mean() >= precision]
+    made.threshold = float(min(fine, default=np.inf)) - 1e-9
+    return made
 
 
-EXAMPLES = 1500
+EXAMPLES = 4000
 
 
 def examples(n: int = EXAMPLES, seed: int = 8) -> list[tuple[str, str, int]]:
@@ -254,7 +318,32 @@ def examples(n: int = EXAMPLES, seed: int = 8) -> list[tuple[str, str, int]]:
     word = lambda: "".join(r.choice("abcdefghilmnoprstuv") for _ in range(r.randint(2, 8)))
     mixed = lambda k: "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(k))
     us = lambda: r.choice(["{}-{}-{}", "({}) {}-{}", "{}.{}.{}", "{} {} {}"]).format(r.choice("23456789") + d(2), r.choice("23456789") + d(2), d(4))
+    upper = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(k))
+    hexes = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
+    name = lambda: word().capitalize()
+
+    def iban() -> str:
+        country, rest = r.choice(["DE", "FR", "GB", "ES", "NL", "IT"]), r.choice([d(18), r.choice(["NWBK", "ABNA"]) + d(14), d(20), upper(1) + d(22)])
+        check = 98 - int("".join(str(int(c, 36)) for c in rest + country + "00")) % 97
+        made = f"{country}{check:02d}{rest}"
+        return r.choice([made, " ".join(made[i : i + 4] for i in range(0, len(made), 4))])
+
+    def ipv6() -> str:
+        groups = [hexes(r.randint(1, 4)) for _ in range(8)]
+        return r.choice([":".join(groups), ":".join(groups[: r.randint(1, 4)]) + "::" + ":".join(groups[: r.randint(1, 3)]), "fe80::" + ":".join(groups[:4])])
+
+    street = lambda: r.choice(["Street", "St", "Avenue", "Ave", "Road", "Rd", "Lane", "Drive", "Boulevard", "Court", "Place"])
     personal = {
+        "key": [
+            lambda: r.choice(["sk_live_", "sk_test_", "rk_live_", "ghp_", "gho_", "xoxb-", "glpat-", "AIza", "npm_", "hf_"]) + mixed(r.randint(20, 36)),
+            lambda: "AKIA" + upper(16), lambda: r.choice(["Bearer ", "the key is ", "auth token "]) + mixed(r.randint(20, 60)),
+            lambda: f"eyJ{mixed(20)}.eyJ{mixed(r.randint(20, 60))}.{mixed(r.randint(20, 43))}",
+            lambda: r.choice(["key ", "token is ", "credentials "]) + hexes(r.choice([32, 40, 64])), lambda: mixed(r.randint(32, 48)),
+        ],
+        "iban": [lambda: r.choice(["iban ", "", "account "]) + iban()],
+        "ipv6": [lambda: r.choice(["", "from ", "host "]) + ipv6()],
+        "address": [lambda: f"{r.randint(1, 9999)} {name()} {street()}", lambda: f"{r.randint(1, 9999)} {name()} {name()} {street()}", lambda: f"{name()}{r.choice(['straße', 'weg', 'platz'])} {r.randint(1, 200)}"],
+        "name": [lambda: f"{r.choice(['Mr.', 'Mrs.', 'Ms.', 'Dr.', 'Prof.', 'Herr', 'Frau'])} {name()}{r.choice(['', ' ' + name()])}", lambda: f"{r.choice(['my name is', 'Name:'])} {name()} {name()}"],
         "number": [
             lambda: r.choice(["phone ", "call me at ", "tel: ", "mobile no. ", "fax "]) + r.choice([us(), "0" + d(9), d(3) + " " + d(7)]),
             lambda: us(),
@@ -272,6 +361,15 @@ def examples(n: int = EXAMPLES, seed: int = 8) -> list[tuple[str, str, int]]:
         ],
     }
     harmless = {
+        "key": [
+            lambda: f"{word()}-{word()}-{d(2)}-{word()}{word()}", lambda: f"{word()}{word()}{word()}{word()}{d(1)}", lambda: f"{word()}_{word()}_{word()}_{d(4)}",
+            lambda: f"20{d(2)}-0{d(1)}-1{d(1)}T1{d(1)}", lambda: f"{word()}{word()}{word()}-v{d(1)}-{word()}", lambda: f"{d(14)}th", lambda: f"{word()}{word()}-{word()}{word()}-{d(2)}.{word()}{word()}",
+            lambda: f"{r.choice(['sha', 'commit', 'checksum', 'hash'])} {hexes(r.choice([16, 32, 40, 64]))}", lambda: f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}",
+        ],
+        "iban": [lambda: r.choice(["", "part ", "model "]) + r.choice(["AB", "XK", "MK", "DE"]) + d(2) + "".join(r.choice([" ", ""]) + upper(4) for _ in range(r.randint(2, 5)))],
+        "ipv6": [lambda: f"1{d(1)}:{r.randint(10, 59)}:{r.randint(10, 59)}", lambda: f"{d(2)}:{d(2)}:{d(2)}:{d(2)}", lambda: f"{word()} ::", lambda: f"{d(1)}:{d(1)}:{d(1)}"],
+        "address": [lambda: f"{r.randint(1, 9999)} {name()}", lambda: f"{r.randint(1, 9999)} {name()} {name()}", lambda: f"{r.randint(1, 31)} {r.choice(['January', 'March', 'May', 'October'])}", lambda: f"{r.randint(1, 99)} {name()} {name()} {name()} {name()}"],
+        "name": [lambda: f"{r.choice(['I am', 'Contact', 'contact', 'Dear', 'dear'])} {name()}", lambda: f"Contact {r.choice(['Us', 'Sales', 'Support', 'The Team'])}"],
         "number": [
             lambda: r.choice(["order ", "isbn ", "item ", "version ", "serial ", "page "]) + d(r.randint(7, 13)),
             lambda: f"20{d(2)}-0{r.randint(1, 9)}-1{d(1)} 1{d(1)}.{d(2)}",
@@ -304,7 +402,7 @@ def train(spark: SparkSession, n: int = EXAMPLES) -> dict[str, Model]:
     rows = [(i, *x) for i, x in enumerate(examples(n))]
     df = spark.createDataFrame(rows, "i int, kind string, text string, label int").coalesce(1)
     text, found = F.col("text"), candidates(F.col("text"))
-    at = F.when(F.col("kind") == "number", found["number"]).when(F.col("kind") == "contact", found["contact"]).otherwise(found["secret"])
+    at = F.coalesce(*[F.when(F.col("kind") == k, found[k]) for k in ADDED])
     got = df.withColumn("s", F.get(at, 0)).where("s is not null").select("kind", "label", features(text, F.col("s")).alias("x")).collect()
     _models[n] = {
         k: fit(np.array([r["x"] for r in got if r["kind"] == k]), np.array([r["label"] for r in got if r["kind"] == k], float)) for k in ADDED
