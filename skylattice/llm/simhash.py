@@ -16,7 +16,8 @@ prune the pairs before the full Hamming check. Two settings of this:
 * Likeness of 0.8 (``deduplicated``): sets of five words, of which pairs differ in about 15 % of the bits. No chain of a
   useful length has the budget 0 there, so this takes long fingerprints, with so many segments that a pair shares some
   of them (``ring_of``). Recall isn't exact but computed and measured. What meets under a key isn't paired out: all are
-  checked against one of them, the lead, and components made; then what is still apart is checked, and only that.
+  checked against one of them, the lead, and components made; what is still apart from the lead's component is tried
+  against some more of its members; then all that is still apart is checked, and only that.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ from skylattice.llm.common import connected_components, cut, without_ids
 SEED = 42
 #: The likeness that long fingerprints are made for, the share of bits that may differ, and the share that differs at 0.8.
 SHINGLE, DIFFER, AT_ALIKE = 5, 0.165, 0.1515
-#: Bits and number of segments for up to 2^18 texts; for more the bits grow with their logarithm.
+#: Bits and number of segments for up to 2^17 texts; for more the bits grow with their logarithm.
 WIDTH, SEGMENTS = 20, 80
+#: Members of the lead's component that the rest of a key is tried against before all of them are.
+TRIES = 8
 _CHUNK = 1 << 16
 _BLOCK = 1 << 13
 _LANES = np.uint64(0x0101010101010101)
@@ -224,7 +227,7 @@ def ring_of(n_texts: int) -> tuple[int, int, int]:
     a pair that is 0.8 alike has a segment in common the less often, so their number grows in proportion. The computed
     chance to find such a pair stays the same, about 0.95.
     """
-    width = min(32, max(WIDTH, math.ceil(math.log2(max(1, n_texts))) + 2))
+    width = min(32, max(WIDTH, math.ceil(math.log2(max(1, n_texts))) + 3))
     segments = math.ceil(SEGMENTS * (1 - AT_ALIKE) ** (WIDTH - width))
     return width, segments, -(-width * segments // 64)
 
@@ -238,12 +241,19 @@ def _kept_in(u: str, v: str, width: int) -> Column:
     return fits
 
 
+def _alike(words: int) -> Column:
+    """Whether ``fp_u`` and ``fp_v`` differ in few enough bits."""
+    differing = F.aggregate(F.zip_with("fp_u", "fp_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    return differing <= int(words * 64 * DIFFER)
+
+
+def _with_print(rows: DataFrame, classes: DataFrame, side: str) -> DataFrame:
+    return rows.join(classes.select(F.col("ck").alias(side), F.col("fp").alias(f"fp_{side}")), side)
+
+
 def _within(pairs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """The pairs (``u``, ``v``, other columns) whose fingerprints differ in few enough bits."""
-    for side in "uv":
-        pairs = pairs.join(classes.select(F.col("ck").alias(side), F.col("fp").alias(f"fp_{side}")), side)
-    differing = F.aggregate(F.zip_with("fp_u", "fp_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    return pairs.where(differing <= int(words * 64 * DIFFER)).drop("fp_u", "fp_v")
+    return _with_print(_with_print(pairs, classes, "u"), classes, "v").where(_alike(words)).drop("fp_u", "fp_v")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, vertex: str, name: str) -> DataFrame:
@@ -251,6 +261,13 @@ def _labelled(rows: DataFrame, labels: DataFrame, vertex: str, name: str) -> Dat
     return rows.join(known, vertex, "left").withColumn(name, F.coalesce(name, vertex))
 
 
+def _raised(labels: DataFrame, above: DataFrame) -> DataFrame:
+    """``labels`` (``vertex``, ``label``) after the components of the labels themselves (``above``, likewise)."""
+    higher = above.select(F.col("vertex").alias("label"), F.col("label").alias("top"))
+    known = labels.join(higher, "label", "left").select("vertex", F.coalesce("top", "label").alias("label"))
+    return known.unionByName(above.join(labels.select("vertex"), "vertex", "left_anti"))
+
+
 def long_components(classes: DataFrame, width: int, segments: int, words: int) -> DataFrame:
     """``ck``, ``first_id`` and ``label`` of classes ``ck``, ``first_id``, ``fp`` (distinct long fingerprints).
 
@@ -270,22 +287,41 @@ def long_components(classes: DataFrame, width: int, segments: int, words: int) -
     order = F.struct(F.xxhash64("ck", F.lit(0)).alias("rank"), "ck", "ring")
     leads = ring.groupBy("start", "key").agg(F.min(order).alias("head"), F.count("*").alias("n")).where("n > 1")
     leads = leads.select("start", "key", "n", F.col("head.ck").alias("lead"), F.col("head.ring").alias("lead_ring"))
-    met = cut(ring.join(leads, ["start", "key"]))
-    stars = met.where((F.col("ck") != F.col("lead")) & _kept_in("ring", "lead_ring", width))
-    links = _within(stars.select(F.col("lead").alias("u"), F.col("ck").alias("v")).distinct(), classes, words)
-    labels = cut(connected_components(links))
+    near = (F.col("ck") != F.col("lead")) & _kept_in("ring", "lead_ring", width)
+    met = cut(ring.join(leads, ["start", "key"]).where((F.col("n") > 2) | near))
+    stars = _within(met.where(near).select(F.col("lead").alias("u"), F.col("ck").alias("v")).distinct(), classes, words)
+    labels = cut(connected_components(stars))
     # Two of a key have met each other. Of the others those are left that aren't connected with the lead.
     crowd = met.where("n > 2").select("start", "key", "ck", "ring", "lead")
-    crowd = cut(_labelled(_labelled(crowd, labels, "ck", "label"), labels, "lead", "lead_label"))
-    a = crowd.select("start", "key", F.col("ck").alias("u"), F.col("ring").alias("ring_u"), F.col("label").alias("in_u"), "lead_label")
-    b = crowd.where("label <> lead_label").select("start", "key", F.col("ck").alias("v"), F.col("ring").alias("ring_v"), F.col("label").alias("in_v"))
-    apart = a.join(b, ["start", "key"]).where(
-        (F.col("in_u") != F.col("in_v")) & ((F.col("in_u") == F.col("lead_label")) | (F.col("u") < F.col("v"))) & _kept_in("ring_u", "ring_v", width)
+
+    def split() -> tuple[DataFrame, DataFrame]:
+        """The crowd with labels, and the part of it that isn't in the component of its lead."""
+        rows = cut(_labelled(_labelled(crowd, labels, "ck", "label"), labels, "lead", "lead_label"))
+        return rows, rows.where("label <> lead_label")
+
+    def joined(more: DataFrame) -> DataFrame:
+        return cut(_raised(labels, connected_components(more.select(F.col("in_u").alias("u"), F.col("in_v").alias("v")))))
+
+    rows, rest = split()
+    drawn = [F.min(F.struct(F.xxhash64("ck", F.lit(n)).alias("rank"), "ck", "ring")) for n in range(1, TRIES + 1)]
+    tried = rows.where("label = lead_label").join(rest.select("start", "key").distinct(), ["start", "key"], "left_semi")
+    tried = tried.groupBy("start", "key").agg(F.array(*drawn).alias("drawn")).select("start", "key", F.explode(F.array_distinct("drawn")).alias("d"))
+    some = rest.join(tried, ["start", "key"]).withColumn("ring_v", F.col("d.ring")).where(_kept_in("ring", "ring_v", width))
+    some = some.select(F.col("ck").alias("u"), F.col("d.ck").alias("v"), F.col("label").alias("in_u"), F.col("lead_label").alias("in_v"))
+    labels = joined(_within(some.distinct(), classes, words))
+    rows, rest = split()
+    # Here a pair may be far apart and yet keep to the chains, so the whole fingerprints are compared inside the join.
+    a = rows.join(rest.select("start", "key").distinct(), ["start", "key"], "left_semi")
+    a = a.select("start", "key", F.col("ck").alias("u"), F.col("ring").alias("ring_u"), F.col("label").alias("in_u"), "lead_label")
+    b = rest.select("start", "key", F.col("ck").alias("v"), F.col("ring").alias("ring_v"), F.col("label").alias("in_v"))
+    apart = _with_print(a, classes, "u").join(_with_print(b, classes, "v"), ["start", "key"]).where(
+        (F.col("in_u") != F.col("in_v"))
+        & ((F.col("in_u") == F.col("lead_label")) | (F.col("u") < F.col("v")))
+        & _kept_in("ring_u", "ring_v", width)
+        & _alike(words)
     )
-    more = _within(apart.select("u", "v", "in_u", "in_v").distinct(), classes, words)
-    above = connected_components(more.select(F.col("in_u").alias("u"), F.col("in_v").alias("v"))).withColumnsRenamed({"vertex": "below", "label": "top"})
-    member = _labelled(classes.select("ck", "first_id"), labels, "ck", "below")
-    return member.join(above, "below", "left").select("ck", "first_id", F.coalesce("top", "below").alias("label"))
+    labels = joined(apart)
+    return _labelled(classes.select("ck", "first_id"), labels, "ck", "label").select("ck", "first_id", "label")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
