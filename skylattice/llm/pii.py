@@ -53,7 +53,7 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-
 IPV6 = r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])"
 ADDRESS = r"(?<![0-9A-Za-z.,-])[0-9]{1,5}[a-z]?\x20(?:[A-Z][a-z]++\x20){0,3}[A-Z][a-z]++(?![A-Za-z])|(?<![A-Za-z])[A-Z][a-zäöüß]++(?:straße|strasse|weg|platz|gasse)\x20[0-9]{1,4}(?![0-9])"
 NAME = (
-    r"(?<=\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra)\.?\x20|\b[Nn]ame(?:\x20is|:)\x20|\bI\x20am\x20|\bI'm\x20|\b[Cc]ontact:?\x20|\b[Dd]ear\x20)"
+    r"(?=[A-Z][a-z])(?<=[a-z'.:]\x20)(?<=\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra)\.?\x20|\b[Nn]ame(?:\x20is|:)\x20|\bI\x20am\x20|\bI'm\x20|\b[Cc]ontact:?\x20|\b[Dd]ear\x20)"
     r"[A-Z][a-zà-ÿ]++(?:[\x20-](?:[A-Z]\.\x20)?[A-Z][a-zà-ÿ]++){0,2}"
 )
 
@@ -227,22 +227,32 @@ class Node:
     high: "Node | None" = None
 
 
-def _grow(x: np.ndarray, gradient: np.ndarray, weight: np.ndarray, depth: int, rate: float) -> Node:
+#: Thresholds that are tried for a feature: so many quantiles of it.
+_CUTS = 19
+
+
+def _cuts(x: np.ndarray) -> list[np.ndarray]:
+    return [np.unique(np.quantile(column, np.linspace(0.05, 0.95, _CUTS)).round(3)) for column in x.T]
+
+
+def _grow(codes: np.ndarray, cuts: list[np.ndarray], gradient: np.ndarray, weight: np.ndarray, depth: int, rate: float) -> Node:
+    """A tree on features given as numbers of the cuts below them; leaves are Newton steps, splits keep 5 on either side."""
     node = Node(rate * gradient.sum() / (weight.sum() + 1.0))
-    if depth == 0 or len(x) < 20:
+    if depth == 0 or len(codes) < 20:
+        return node
+    n_features, width = codes.shape[1], _CUTS + 1
+    place = (codes + np.arange(n_features) * width).reshape(-1)
+    sums = lambda w: np.bincount(place, None if w is None else np.repeat(w, n_features), n_features * width).reshape(n_features, width).cumsum(1)
+    n, g, h = sums(None), sums(gradient), sums(weight)
+    gain = g**2 / (h + 1.0) + (g[:, -1:] - g) ** 2 / (h[:, -1:] - h + 1.0) - gradient.sum() ** 2 / (weight.sum() + 1.0)
+    gain[(n < 5) | (n > len(codes) - 5)] = -1
+    feature, cut = divmod(int(gain.argmax()), width)
+    if gain[feature, cut] <= 1e-6:
         return node
-    best, whole = 1e-6, gradient.sum() ** 2 / (weight.sum() + 1.0)
-    for f in range(x.shape[1]):
-        for at in np.unique(np.quantile(x[:, f], np.linspace(0.05, 0.95, 19)).round(3)):
-            low = x[:, f] <= at
-            if 5 <= low.sum() <= len(x) - 5:
-                parts = (gradient[low].sum() ** 2 / (weight[low].sum() + 1.0) for low in (low, ~low))
-                if (gain := sum(parts) - whole) > best:
-                    best, node.feature, node.at = gain, f, float(at)
-    if node.feature >= 0:
-        low = x[:, node.feature] <= node.at
-        node.low = _grow(x[low], gradient[low], weight[low], depth - 1, rate)
-        node.high = _grow(x[~low], gradient[~low], weight[~low], depth - 1, rate)
+    low = codes[:, feature] <= cut
+    node.feature, node.at = feature, float(cuts[feature][cut])
+    node.low = _grow(codes[low], cuts, gradient[low], weight[low], depth - 1, rate)
+    node.high = _grow(codes[~low], cuts, gradient[~low], weight[~low], depth - 1, rate)
     return node
 
 
@@ -252,10 +262,10 @@ def _value(node: Node, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, node.feature] <= node.at, _value(node.low, x), _value(node.high, x))
 
 
-def _as_column(node: Node, x: Column) -> Column:
+def _as_sql(node: Node, x: str) -> str:
     if node.low is None:
-        return F.lit(float(node.value))
-    return F.when(x[node.feature] <= node.at, _as_column(node.low, x)).otherwise(_as_column(node.high, x))
+        return f"{float(node.value)!r}D"
+    return f"CASE WHEN {x}[{node.feature}] <= {node.at!r}D THEN {_as_sql(node.low, x)} ELSE {_as_sql(node.high, x)} END"
 
 
 @dataclass
@@ -267,12 +277,10 @@ class Model:
     offset: float
     threshold: float
 
-    def score(self, x: Column) -> Column:
-        """The calibrated probability that the span is personal."""
-        total = F.lit(0.0)
-        for t in self.trees:
-            total = total + _as_column(t, x)
-        return 1 / (1 + F.exp(-(total * self.slope + self.offset)))
+    def sql(self, x: str) -> str:
+        """The calibrated probability that the span with the features ``x`` is personal."""
+        total = " + ".join(_as_sql(t, x) for t in self.trees) or "0D"
+        return f"1 / (1 + exp(-(({total}) * {self.slope!r}D + {self.offset!r}D)))"
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(sum(_value(t, x) for t in self.trees) * self.slope + self.offset)))
@@ -297,9 +305,11 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 24, depth: int = 3, rate: fl
         return Model([], 1.0, 0.0, float("inf"))
     rest = np.arange(len(x)) % 3 == 2
     xa, ya, score, trees = x[~rest], y[~rest], np.zeros((~rest).sum()), []
+    cuts = _cuts(xa)
+    codes = np.stack([np.searchsorted(c, column) for c, column in zip(cuts, xa.T)], axis=1)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-score))
-        trees.append(_grow(xa, ya - p, p * (1 - p), depth, rate))
+        trees.append(_grow(codes, cuts, ya - p, p * (1 - p), depth, rate))
         score += _value(trees[-1], xa)
     made = Model(trees, *_curve(sum(_value(t, x[rest]) for t in trees), y[rest]), 0.5)
     held = made.scores(x[rest])
@@ -430,25 +440,27 @@ def find(docs: DataFrame, text_col: str = "text", prefix: str = "__pii_") -> Dat
     """``docs`` with two arrays of spans, ``<prefix>base`` and ``<prefix>all``: ``start``, ``number``, ``stop``, ``kind``."""
     models = train(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    proposed = candidates(text)
-    with_found = docs.withColumns(
-        {f"{prefix}{k}": c for k, c in base_spans(text).items()} | {f"{prefix}{k}": proposed[k] for k in ADDED}
-    )
-    base = F.array_sort(F.concat(*[_tagged(F.col(f"{prefix}{k}"), k) for k in BASE]))
-    with_base = with_found.withColumn(f"{prefix}base", base)
+    base = F.array_sort(F.concat(*[_tagged(c, k) for k, c in base_spans(text).items()]))
+    with_base = docs.withColumn(f"{prefix}base", base)
     known = F.col(f"{prefix}base")
 
+    def judged(found: Column) -> Column:
+        """The proposed spans apart from base ones, with their features."""
+        apart = lambda s: ~F.exists(known, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+        with_x = lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), features(text, s).alias("x"))
+        return _let(found, lambda f: F.when(F.size(f) > 0, F.transform(F.filter(f, apart), with_x)))
+
+    with_found = with_base.withColumns({f"{prefix}{k}": judged(c) for k, c in candidates(text).items()})
+
     def selected(kind: str) -> Column:
         model = models[kind]
-        kept = F.filter(
-            F.col(f"{prefix}{kind}"),
-            lambda s: ~F.exists(known, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-            & _let(features(text, s), lambda x: model.score(x) >= model.threshold),
-        )
-        return F.when(F.size(F.col(f"{prefix}{kind}")) > 0, _tagged(kept, kind)).otherwise(_tagged(F.array().cast(_SPAN), kind))
+        if not np.isfinite(model.threshold):
+            return _tagged(F.array().cast(_SPAN), kind)
+        kept = F.expr(f"filter({prefix}{kind}, s -> {model.sql('s.x')} >= {model.threshold!r}D)")
+        return F.when(F.size(f"{prefix}{kind}") > 0, _tagged(kept, kind)).otherwise(_tagged(F.array().cast(_SPAN), kind))
 
     both = F.array_sort(F.concat(known, *[selected(k) for k in ADDED]))
-    return with_base.withColumn(f"{prefix}all", both).drop(*[f"{prefix}{k}" for k in (*BASE, *ADDED)])
+    return with_found.withColumn(f"{prefix}all", both).drop(*[f"{prefix}{k}" for k in ADDED])
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

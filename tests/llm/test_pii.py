@@ -84,7 +84,7 @@ def _scored(spark, n, seed):
     at = F.coalesce(*[F.when(F.col("kind") == k, found[k]) for k in pii.ADDED])
     x = pii.features(F.col("text"), F.col("s"))
     part = frame.withColumn("s", F.get(at, 0)).where("s is not null").withColumn("x", x)
-    score = F.coalesce(*[F.when(F.col("kind") == k, models[k].score(F.col("x"))) for k in pii.ADDED])
+    score = F.expr("CASE " + " ".join(f"WHEN kind = '{k}' THEN {models[k].sql('x')}" for k in pii.ADDED) + " END")
     return part.select("kind", "label", "x", score.alias("p")).collect()
 
 
