@@ -444,23 +444,20 @@ def find(docs: DataFrame, text_col: str = "text", prefix: str = "__pii_") -> Dat
     with_base = docs.withColumn(f"{prefix}base", base)
     known = F.col(f"{prefix}base")
 
-    def judged(found: Column) -> Column:
-        """The proposed spans apart from base ones, with their features."""
-        apart = lambda s: ~F.exists(known, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-        with_x = lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), features(text, s).alias("x"))
-        return _let(found, lambda f: F.when(F.size(f) > 0, F.transform(F.filter(f, apart), with_x)))
-
-    with_found = with_base.withColumns({f"{prefix}{k}": judged(c) for k, c in candidates(text).items()})
-
-    def selected(kind: str) -> Column:
-        model = models[kind]
-        if not np.isfinite(model.threshold):
-            return _tagged(F.array().cast(_SPAN), kind)
-        kept = F.expr(f"filter({prefix}{kind}, s -> {model.sql('s.x')} >= {model.threshold!r}D)")
-        return F.when(F.size(f"{prefix}{kind}") > 0, _tagged(kept, kind)).otherwise(_tagged(F.array().cast(_SPAN), kind))
-
-    both = F.array_sort(F.concat(known, *[selected(k) for k in ADDED]))
-    return with_found.withColumn(f"{prefix}all", both).drop(*[f"{prefix}{k}" for k in ADDED])
+    # The proposed spans of all kinds in one array, so that the features are written once.
+    tagged = lambda k: F.transform(
+        F.col(f"{prefix}{k}"),
+        lambda s: F.struct(s["start"].alias("start"), F.lit([*BASE, *ADDED].index(k)).alias("number"), s["stop"].alias("stop"), F.lit(k).alias("kind"), s["value"].alias("value")),
+    )
+    apart = lambda s: ~F.exists(known, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+    with_x = lambda s: F.struct(*[s[c].alias(c) for c in ("start", "number", "stop", "kind")], features(text, s).alias("x"))
+    judged = with_base.withColumns({f"{prefix}{k}": c for k, c in candidates(text).items()})
+    judged = judged.withColumn(f"{prefix}found", F.concat(*[tagged(k) for k in ADDED])).drop(*[f"{prefix}{k}" for k in ADDED])
+    judged = judged.withColumn(f"{prefix}found", F.when(F.size(f"{prefix}found") > 0, F.transform(F.filter(f"{prefix}found", apart), with_x)))
+    tests = " ".join(f"WHEN '{k}' THEN {models[k].sql('s.x')} >= {models[k].threshold!r}D" for k in ADDED if np.isfinite(models[k].threshold))
+    chosen = F.expr(f"transform(filter({prefix}found, s -> CASE s.kind {tests} ELSE false END), s -> struct(s.start, s.number, s.stop, s.kind))")
+    both = F.when(F.size(f"{prefix}found") > 0, F.array_sort(F.concat(known, chosen))).otherwise(known)
+    return judged.withColumn(f"{prefix}all", both).drop(f"{prefix}found")
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
