@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import struct
+from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +43,7 @@ def _has_z(geometry: dict) -> bool:
 
 
 def encode(geometry: dict | None) -> bytes | None:
-    """WKB of a GeoJSON geometry. Empty parts of a MultiPolygon are left out; an empty Point has NaN coordinates."""
+    """WKB of a GeoJSON geometry. Parts of a MultiPolygon without a non-empty ring are left out; an empty Point has NaN coordinates."""
     if geometry is None:
         return None
     out: list[bytes] = []
@@ -78,7 +81,7 @@ def _encode(geometry: dict, z: bool, out: list[bytes]) -> None:
         for ring in coordinates:
             positions(ring)
     else:
-        parts = [c for c in coordinates if c] if kind == "MultiPolygon" else coordinates
+        parts = [c for c in coordinates if any(c)] if kind == "MultiPolygon" else coordinates
         out.append(struct.pack("<I", len(parts)))
         for part in parts:
             _encode({"type": PARTS[kind], "coordinates": part}, z, out)
@@ -161,17 +164,76 @@ def bounds(data: bytes | None) -> tuple[float, float, float, float] | None:
 
 _dumps = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False).encode
 
+_FLOAT = r"\s*(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)\s*"
+#: A point of two numbers, its keys in the usual order.
+_POINT_TEXT = re.compile(rf'\s*\{{\s*"type"\s*:\s*"Point"\s*,\s*"coordinates"\s*:\s*\[{_FLOAT},{_FLOAT}\]\s*\}}\s*')
+_POINT_HEAD = struct.pack("<BI", 1, 1)
+
+
+def _matrix(data: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes of a binary column, and where its values start and end."""
+    offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+    values = data.buffers()[2]
+    return np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8), offsets[:-1], offsets[1:]
+
+
+def _simple(data: pa.Array) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Rows whose WKB is a little-endian point or a polygon of one ring in two dimensions, by length: kind, row numbers,
+    coordinates (rows x positions x 2). They are read for all rows of a length at once.
+    """
+    if not len(data):
+        return
+    raw, start, end = _matrix(data)
+    length = np.where(data.is_valid().to_numpy(zero_copy_only=False), end - start, 0)
+    for n in np.unique(length).tolist():
+        rings = n > 21 and (n - 13) % 16 == 0
+        if n != 21 and not rings:
+            continue
+        rows = np.flatnonzero(length == n)
+        block = raw[start[rows][:, None] + np.arange(n)]
+        head = np.frombuffer(_POINT_HEAD if n == 21 else struct.pack("<BIII", 1, 3, 1, (n - 13) // 16), np.uint8)
+        fits = (block[:, : len(head)] == head).all(1)
+        rows, block = rows[fits], block[fits]
+        if len(rows):
+            yield "Point" if n == 21 else "Polygon", rows, np.ascontiguousarray(block[:, len(head) :]).view("<f8").reshape(len(rows), -1, 2)
+
 
 @F.arrow_udf(T.BinaryType())
 def wkb_from_geojson(texts: pa.Array) -> pa.Array:
-    """Column of GeoJSON texts to WKB; the text ``null`` is null."""
-    return pa.array([None if t is None else encode(json.loads(t)) for t in texts.to_pylist()], pa.binary())
+    """Column of GeoJSON texts to WKB; the text ``null`` is null. Plain points are packed for the whole batch at once."""
+    given = texts.to_pylist()
+    points = [None if t is None else _POINT_TEXT.fullmatch(t) for t in given]
+    at = [i for i, m in enumerate(points) if m]
+    packed = np.zeros((len(at), 21), np.uint8)
+    packed[:, :5] = np.frombuffer(_POINT_HEAD, np.uint8)
+    packed[:, 5:] = np.array([(float(points[i][1]), float(points[i][2])) for i in at], "<f8").reshape(-1, 2).view(np.uint8)
+    made, out = packed.tobytes(), [None] * len(given)
+    for k, i in enumerate(at):
+        out[i] = made[21 * k : 21 * k + 21]
+    for i, (t, m) in enumerate(zip(given, points)):
+        if t is not None and not m:
+            out[i] = encode(json.loads(t))
+    return pa.array(out, pa.binary())
 
 
 @F.arrow_udf(T.StringType())
 def geojson_from_wkb(data: pa.Array) -> pa.Array:
     """Column of WKB to GeoJSON texts."""
-    return pa.array([None if d is None else _dumps(decode(d)) for d in data.to_pylist()], pa.string())
+    out: list[str | None] = [None] * len(data)
+    rest = data.is_valid().to_numpy(zero_copy_only=False).copy()
+    for kind, rows, xy in _simple(data):
+        plain = np.isfinite(xy).all((1, 2))
+        rows, xy = rows[plain], xy[plain]
+        rest[rows] = False
+        if kind == "Point":
+            for i, (x, y) in zip(rows.tolist(), xy[:, 0].tolist()):
+                out[i] = f'{{"type":"Point","coordinates":[{x!r},{y!r}]}}'
+        else:
+            for i, ring in zip(rows.tolist(), xy.tolist()):
+                out[i] = f'{{"type":"Polygon","coordinates":[[{",".join(f"[{x!r},{y!r}]" for x, y in ring)}]]}}'
+    for i in np.flatnonzero(rest).tolist():
+        out[i] = _dumps(decode(data[i].as_py()))
+    return pa.array(out, pa.string())
 
 
 _BOUNDS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("xmin", "ymin", "xmax", "ymax")])
@@ -180,6 +242,13 @@ _BOUNDS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("xmin", "ymin
 @F.arrow_udf(_BOUNDS)
 def bounds_of_wkb(data: pa.Array) -> pa.Array:
     """Column of WKB to a struct of bounds; null for null and empty geometries."""
-    names = _BOUNDS.names
-    found = [bounds(d) for d in data.to_pylist()]
-    return pa.array([None if b is None else dict(zip(names, b)) for b in found], pa.struct([(n, pa.float64()) for n in names]))
+    out, known = np.zeros((len(data), 4)), np.zeros(len(data), bool)
+    rest = data.is_valid().to_numpy(zero_copy_only=False).copy()
+    for _, rows, xy in _simple(data):
+        plain = np.isfinite(xy).all((1, 2))
+        rows, xy = rows[plain], xy[plain]
+        out[rows], known[rows], rest[rows] = np.concatenate([xy.min(1), xy.max(1)], axis=1), True, False
+    for i in np.flatnonzero(rest).tolist():
+        if (box := bounds(data[i].as_py())) is not None:
+            out[i], known[i] = box, True
+    return pa.StructArray.from_arrays([pa.array(c) for c in out.T], _BOUNDS.names, mask=pa.array(~known))

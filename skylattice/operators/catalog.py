@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -97,24 +99,51 @@ def catalog_rows(
     return _search(rows, collection, start, end, cql2=cql2, now=now)
 
 
-def dsn(conninfo: str, search_path: str = "public", statement_timeout: int | None = None) -> str:
-    """Connection parameters with the search path and, if given, the statement timeout added to the options."""
-    parts = dict(p.split("=", 1) for p in _split(conninfo))
-    options = [parts.pop("options", "").strip("'"), f"-c search_path={search_path}"]
+def dsn(conninfo: str | None, search_path: str = "public", statement_timeout: int | None = None) -> str:
+    """Connection parameters with the search path and, if given, the statement timeout added to the options.
+
+    ``conninfo``: keys and values (``host=x``, also with blanks around ``=`` and quoted values), a ``postgresql://`` URI,
+    or None, where the database's own environment variables say the rest.
+    """
+    parts = _parameters(conninfo or "")
+    options = [parts.pop("options", ""), f"-c search_path={search_path}"]
     if statement_timeout is not None:
         options.append(f"-c statement_timeout={statement_timeout}")
-    return " ".join([*(f"{k}={v}" for k, v in parts.items()), f"options='{' '.join(filter(None, options))}'"])
-
-
-def _split(conninfo: str) -> list[str]:
-    out, quoted = [""], False
-    for c in conninfo:
-        quoted ^= c == "'"
-        if c == " " and not quoted:
-            out.append("")
-        else:
-            out[-1] += c
-    return [p for p in out if p]
+    return " ".join(f"{k}={_quoted(v)}" for k, v in {**parts, "options": " ".join(filter(None, options))}.items())
+
+
+def _quoted(value: str) -> str:
+    if value and not re.search(r"[\s'\\]", value):
+        return value
+    return "'" + re.sub(r"(['\\])", r"\\\1", value) + "'"
+
+
+_PARAMETER = re.compile(r"\s*([^\s=]+)\s*=\s*('(?:[^'\\]|\\.)*'|(?:[^\s'\\]|\\.)*)(?=\s|$)")
+
+
+def _parameters(conninfo: str) -> dict[str, str]:
+    if re.match(r"postgres(?:ql)?://", conninfo):
+        authority, _, query = conninfo.split("://", 1)[1].partition("?")
+        login, _, place = authority.rpartition("@")
+        hosts, _, name = place.partition("/")
+        user, _, password = login.partition(":")
+        # Several hosts, and addresses in brackets, may each have a port.
+        pairs = [re.fullmatch(r"(\[[^\]]*\]|[^:]*)(?::([0-9]*))?", h) for h in hosts.split(",")]
+        if not all(pairs):
+            raise ValueError("the URI's host can't be read")
+        host, port = ",".join(m[1].strip("[]") for m in pairs), ",".join(m[2] or "" for m in pairs)
+        found = {"user": user, "password": password, "host": host, "port": port if port.strip(",") else "", "dbname": name}
+        found |= dict(p.split("=", 1) for p in query.split("&") if "=" in p)
+        return {k: unquote(v) for k, v in found.items() if v}
+    out, at = {}, 0
+    while at < len(conninfo.rstrip()):
+        m = _PARAMETER.match(conninfo, at)
+        if not m:
+            raise ValueError("the connection parameters can't be read")
+        value = m[2][1:-1] if m[2].startswith("'") else m[2]
+        out[m[1]] = re.sub(r"\\(.)", r"\1", value)
+        at = m.end()
+    return out
 
 
 # --- partitions

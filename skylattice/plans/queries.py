@@ -6,6 +6,7 @@ Most use one view of ``events`` as items; its arithmetic is the same in both eng
 from __future__ import annotations
 
 import datetime as dt
+import re
 import uuid
 from collections.abc import Callable
 
@@ -43,7 +44,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _scratch(spark: SparkSession, name: str) -> str:
     """A new folder that all executors reach."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/skylattice-shared"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file:///tmp/skylattice-shared"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -378,7 +383,8 @@ def partition_sync(spark, sf_dir):
     path = _scratch(spark, "sync")
     parts = catalog.with_partition_files(_partitions(spark, sf_dir), _utc(2024, 1, 20))
     sync_partitions(items_view(spark, sf_dir), parts, path)
-    return spark.read.parquet(path).groupBy(F.col("collection"), "file").agg(F.count("*").alias("n"))
+    written = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    return written.groupBy("collection", F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n"))
 
 
 # --- schemas and unions
@@ -436,10 +442,7 @@ def ndjson_roundtrip(spark, sf_dir):
 def parquet_roundtrip(spark, sf_dir):
     path = _scratch(spark, "items")
     table = layout.to_table_layout(parse_items(_event_texts(spark, sf_dir)), bbox_numbers=4)
-    if path.startswith(("file:", "/")):
-        write_item_parquet(table, path)
-    else:
-        table.write.parquet(path)
+    write_item_parquet(table, path)
     return _base(spark.read.parquet(path))
 
 

@@ -34,6 +34,8 @@ DEFAULT_VERSION = "1.1.0"
 ITEM_METADATA_VERSION = "1.0.0"
 #: The footer key of the item metadata; readers that expect another name get it by this parameter.
 ITEM_KEY = "item-metadata"
+#: Rows of a row group.
+ROW_GROUP_ROWS = 65_536
 
 
 def footer_metadata(
@@ -74,6 +76,10 @@ def resolve_path(path: str | os.PathLike, filesystem: pafs.FileSystem | None = N
     return pafs.FileSystem.from_uri(text)
 
 
+def _truth(text: str) -> bool:
+    return text.lower() == "true"
+
+
 def _tagged(schema: pa.Schema, metadata: dict[bytes, bytes]) -> pa.Schema:
     fields = [f.with_metadata(GEOMETRY_TAG) if f.name == "geometry" else f for f in schema]
     return pa.schema(fields, metadata=metadata)
@@ -81,7 +87,31 @@ def _tagged(schema: pa.Schema, metadata: dict[bytes, bytes]) -> pa.Schema:
 
 @dataclass
 class _Written(WriterCommitMessage):
-    name: str | None
+    """Files of a task: name in the staging folder, and path below the target."""
+
+    files: list[tuple[str, str]]
+
+
+class _Groups:
+    """Gathers Arrow batches to row groups of about ``rows`` rows."""
+
+    def __init__(self, writer: pq.ParquetWriter, schema: pa.Schema, rows: int):
+        self.writer, self.schema, self.rows, self.held, self.n = writer, schema, rows, [], 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.held.append(pa.RecordBatch.from_arrays(batch.columns, schema=self.schema))
+        self.n += batch.num_rows
+        if self.n >= self.rows:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            self.writer.write_table(pa.Table.from_batches(self.held, self.schema), row_group_size=max(self.rows, self.n))
+        self.held, self.n = [], 0
+
+    def close(self) -> None:
+        self.flush()
+        self.writer.close()
 
 
 class ItemParquetWriter(DataSourceArrowWriter):
@@ -94,7 +124,12 @@ class ItemParquetWriter(DataSourceArrowWriter):
         self.metadata = footer_metadata(
             schema.names, known("schema_version", DEFAULT_VERSION), loaded("collections"), loaded("collection"), known("item_key", ITEM_KEY)
         )
-        self.compression = known("compression", "zstd")
+        self.path_column = known("path_column")
+        self.group_rows = int(known("row_group_rows", ROW_GROUP_ROWS))
+        self.writer_options = {"compression": known("compression", "zstd")}
+        for option, kind in (("compression_level", int), ("data_page_size", int), ("write_statistics", _truth), ("use_dictionary", _truth)):
+            if known(option) is not None:
+                self.writer_options[option] = kind(known(option))
         self.schema = to_arrow_schema(schema)
         self.staging = f"_staging-{uuid.uuid4().hex}"
 
@@ -103,18 +138,38 @@ class ItemParquetWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         fs, root = self._where()
-        name, writer = f"part-{uuid.uuid4().hex}.parquet", None
         fs.create_dir(f"{root}/{self.staging}", recursive=True)
+        files: list[tuple[str, str]] = []
+        writer, current = None, None
         try:
             for batch in iterator:
-                if writer is None:
-                    schema = _tagged(batch.schema, self.metadata)
-                    writer = pq.ParquetWriter(f"{root}/{self.staging}/{name}", schema, filesystem=fs, compression=self.compression)
-                writer.write_batch(pa.RecordBatch.from_arrays(batch.columns, schema=schema))
+                for target, part in self._parts(batch):
+                    if writer is None or target != current:
+                        if writer is not None:
+                            writer.close()
+                        name, current = f"part-{uuid.uuid4().hex}.parquet", target
+                        files.append((name, target or name))
+                        schema = _tagged(part.schema, self.metadata)
+                        writer = _Groups(pq.ParquetWriter(f"{root}/{self.staging}/{name}", schema, filesystem=fs, **self.writer_options), schema, self.group_rows)
+                    writer.add(part)
         finally:
             if writer is not None:
                 writer.close()
-        return _Written(name if writer is not None else None)
+        return _Written(files)
+
+    def _parts(self, batch: pa.RecordBatch) -> Iterator[tuple[str | None, pa.RecordBatch]]:
+        """The batch, or its runs of equal paths (``path_column``) without that column."""
+        if not self.path_column:
+            yield None, batch
+            return
+        at = batch.schema.get_field_index(self.path_column)
+        paths = batch.column(at).to_pylist()
+        rest = batch.remove_column(at)
+        start = 0
+        for i in range(1, len(paths) + 1):
+            if i == len(paths) or paths[i] != paths[start]:
+                yield paths[start], rest.slice(start, i - start)
+                start = i
 
     def commit(self, messages: list[_Written | None]) -> None:
         fs, root = self._where()
@@ -123,10 +178,12 @@ class ItemParquetWriter(DataSourceArrowWriter):
             for old in fs.get_file_info(pafs.FileSelector(root)):
                 if old.base_name.endswith(".parquet") and old.is_file:
                     fs.delete_file(old.path)
-        names = [m.name for m in messages if m and m.name]
-        for name in names:
-            fs.move(f"{root}/{self.staging}/{name}", f"{root}/{name}")
-        if not names and not any(f.base_name.endswith(".parquet") for f in fs.get_file_info(pafs.FileSelector(root))):
+        files = [f for m in messages if m for f in m.files]
+        for name, target in files:
+            if "/" in target:
+                fs.create_dir(os.path.dirname(f"{root}/{target}"), recursive=True)
+            fs.move(f"{root}/{self.staging}/{name}", f"{root}/{target}")
+        if not files and not self.path_column and not any(f.base_name.endswith(".parquet") for f in fs.get_file_info(pafs.FileSelector(root))):
             with pq.ParquetWriter(f"{root}/part-empty.parquet", _tagged(self.schema, self.metadata), filesystem=fs):
                 pass
         self._clean(fs, root)
@@ -140,7 +197,12 @@ class ItemParquetWriter(DataSourceArrowWriter):
 
 
 class ItemParquetSource(DataSource):
-    """``df.write.format("itemparquet").save(path)``; options: schema_version, collections, collection, item_key, compression."""
+    """``df.write.format("itemparquet").save(path)``.
+
+    Options: schema_version, collections, collection, item_key; compression, compression_level, data_page_size,
+    row_group_rows, write_statistics, use_dictionary; path_column, a column with the path of each row's file below the
+    target, for rows that are sorted by it and lie in one task for each path.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -155,13 +217,17 @@ class ItemParquetSource(DataSource):
 
 def write_item_parquet(
     table: DataFrame, path: str, mode: str = "overwrite", schema_version: str = DEFAULT_VERSION, collections: Mapping[str, Any] | None = None,
-    collection: Mapping[str, Any] | None = None, item_key: str = ITEM_KEY, single_file: bool = False, compression: str = "zstd",
+    collection: Mapping[str, Any] | None = None, item_key: str = ITEM_KEY, single_file: bool = False, compression: str = "zstd", **more: Any,
 ) -> str:
-    """Writes a table in the table layout; returns the path. ``single_file``: the path is one file, written by one task."""
+    """Writes a table in the table layout; returns the path. ``single_file``: the path is one file, written by one task.
+
+    ``more``: other options of ``ItemParquetSource``.
+    """
     spark = table.sparkSession
     spark.dataSource.register(ItemParquetSource)
     footer_metadata(table.columns, schema_version, collections, collection, item_key)  # wrong options raise here
     options = {"schema_version": schema_version, "item_key": item_key, "compression": compression}
+    options |= {k: str(v) for k, v in more.items()}
     options |= {k: json.dumps(v) for k, v in (("collections", collections), ("collection", collection)) if v}
     target = f"{path}.{uuid.uuid4().hex}" if single_file else str(path)
     rows = table.coalesce(1) if single_file else table
@@ -202,28 +268,33 @@ def read_item_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def sync_partitions(items: DataFrame, partitions: DataFrame, path: str) -> list[str]:
-    """Writes the items of changed partitions, one folder each: ``collection=.../file=...``; other folders stay.
+def sync_partitions(items: DataFrame, partitions: DataFrame, path: str, **write: Any) -> list[str]:
+    """Writes the items of changed partitions, one item Parquet file each: ``<collection>/<file>``; other files stay.
 
-    ``partitions``: those to write, from ``with_partition_files``. Returns the folders; none if nothing has changed.
-    A partition without items any more loses its folder's files.
+    ``partitions``: those to write, from ``with_partition_files``. ``write``: options of ``write_item_parquet``. Returns
+    the paths of the files written; none if nothing has changed. A partition without items any more loses its file.
+    The items are read once; those of a partition are written by one task, in their file's order of time, without
+    being held in memory.
     """
     from skylattice.operators.catalog import assign_partitions
 
-    changed = [(r["collection"], r["file"]) for r in partitions.select("collection", "file").distinct().collect()]
+    where = F.concat(F.regexp_replace("collection", "[^A-Za-z0-9._-]", "_"), F.lit("/"), "file")
+    changed = [r[0] for r in partitions.select(where).distinct().collect()]
     if not changed:
         return []
-    placed = assign_partitions(items, partitions)
-    placed = placed.withColumn("__collection", col("collection"))
-    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__collection", "file").parquet(path)
-    full = {(r[0], r[1]) for r in placed.select("__collection", "file").distinct().collect()}
-    spark = items.sparkSession
-    out = []
-    for c, f in changed:
-        folder = f"{path}/__collection={c}/file={f}"
-        if (c, f) in full:
-            out.append(folder)
-        else:
-            where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    placed = assign_partitions(items, partitions).withColumn("__path", where).drop("file")
+    order = ["__path", *(["datetime"] if "datetime" in items.columns else [])]
+    began = uuid.uuid4().hex
+    write_item_parquet(placed.repartition("__path").sortWithinPartitions(*order), f"{path}/_sync-{began}", path_column="__path", **write)
+    fs, root = resolve_path(path)
+    staged, out = f"{root}/_sync-{began}", []
+    for target in sorted(changed):
+        if fs.get_file_info(f"{staged}/{target}").type == pafs.FileType.File:
+            fs.create_dir(os.path.dirname(f"{root}/{target}"), recursive=True)
+            fs.move(f"{staged}/{target}", f"{root}/{target}")
+            out.append(f"{path}/{target}")
+        elif fs.get_file_info(f"{root}/{target}").type == pafs.FileType.File:
+            fs.delete_file(f"{root}/{target}")
+    if fs.get_file_info(staged).type == pafs.FileType.Directory:
+        fs.delete_dir(staged)
     return out

@@ -30,9 +30,14 @@ def sync_available(
             new = new.unionByName(old.withColumn("__new", F.lit(0)))
         order = F.struct("__new", *(["updated"] if "updated" in batch.columns else []), F.xxhash64(*[F.col(f"`{c}`") for c in batch.columns]))
         best = new.groupBy(partition_by, key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in batch.columns]), order).alias("row")).select("row.*")
-        rows = best.checkpoint() if spark.sparkContext.getCheckpointDir() else best.persist()
+        # The partitions are read and then overwritten, so the new content is in files of its own before.
+        staged = f"{checkpoint}/staged-{number}"
+        best.write.mode("overwrite").parquet(staged)
+        rows = spark.read.schema(best.schema).parquet(staged)
         written[0] += rows.count()
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(target)
+        done = spark._jvm.org.apache.hadoop.fs.Path(staged)
+        done.getFileSystem(spark._jsc.hadoopConfiguration()).delete(done, True)
 
     stream = spark.readStream.schema(schema).parquet(source)
     query = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -105,12 +105,16 @@ def test_sync(spark, tmp_path):
     assert len(sky.sync_partitions(items, files, path)) == 2
     changed = with_partition_files(parts, day(3))
     more = sky.to_table_layout(sky.from_items(spark, [point(1), point(3)]))
-    assert sky.sync_partitions(more, changed, path) == [f"{path}/__collection=points/file=items.parquet"]
-    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == ["point-1", "point-2", "point-3"]
+    assert sky.sync_partitions(more, changed, path) == [f"{path}/points/items.parquet"]
+    read = lambda: spark.read.option("recursiveFileLookup", "true").parquet(path)
+    assert sorted(r["id"] for r in read().collect()) == ["point-1", "point-2", "point-3"]
+    for file in glob.glob(f"{path}/*/*.parquet"):
+        assert json.loads(pq.read_metadata(file).metadata[b"geo"])["primary_column"] == "geometry"
+    assert sorted(glob.glob(f"{path}/*/*")) == [f"{path}/other/items_20240101_20240108.parquet", f"{path}/points/items.parquet"]
     assert sky.sync_partitions(more, files.where("false"), path) == []
     gone = more.where(F.lit(False))
     assert sky.sync_partitions(gone, changed, path) == []
-    assert [r["id"] for r in spark.read.parquet(path).collect()] == ["point-2"]
+    assert [r["id"] for r in read().collect()] == ["point-2"]
 
 
 def test_stream(spark, tmp_path):
@@ -125,3 +129,21 @@ def test_stream(spark, tmp_path):
     sync_available(spark, source, target, state, schema)
     assert sync_available(spark, source, target, state, schema) == 0
     assert {(r["id"], r["v"]) for r in spark.read.parquet(target).collect()} == {("a", 2), ("b", 1), ("c", 1)}
+
+
+def test_writer_options(spark, tmp_path):
+    path = str(tmp_path / "i")
+    items = sky.to_table_layout(sky.from_items(spark, [point(i) for i in range(30)])).coalesce(1)
+    sky.write_item_parquet(items, path, row_group_rows=10, write_statistics=False, compression="snappy")
+    (file,) = glob.glob(f"{path}/*.parquet")
+    group = pq.read_metadata(file).row_group(0)
+    assert group.column(0).compression == "SNAPPY" and not group.column(0).is_stats_set
+
+
+def test_one_call_converters(spark, tmp_path):
+    path, lines = str(tmp_path / "i"), str(tmp_path / "l")
+    sky.items_to_parquet(spark, [scene(1), scene(2)], path, write={"item_key": "own"})
+    sky.parquet_to_lines(spark, path, lines)
+    again = str(tmp_path / "again")
+    sky.items_to_parquet(spark, lines, again)
+    assert_items_equal(sorted(sky.to_items(sky.read_item_parquet(spark, again)), key=lambda x: x["id"]), [scene(1), scene(2)])
