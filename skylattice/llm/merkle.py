@@ -3,8 +3,8 @@
 Lines are paragraphs. A section starts at the text's start, after a blank line and at a heading (a line that starts
 with ``#``). A paragraph's node is the SHA-256 of its text, a section's that of its paragraphs' nodes, and the root that
 of the sections' nodes, so equal roots mean equal texts and differing branches tell which sections and paragraphs were
-edited. Under each paragraph are its leaves, 32-bit hashes of its pieces: a sentence, or eight words of a longer one.
-The likeness of two fingerprints is the Dice coefficient of their sets of leaves.
+edited. Under each paragraph are its leaves, 32-bit hashes of its pieces: a sentence, or eight words of a longer one;
+of short paragraphs single words, so that half of a short text still has leaves of its own. The likeness of two fingerprints is the Dice coefficient of their sets of leaves.
 
 The fingerprint as text is the root, a colon, and the sections, joined by semicolons: node, slash, the paragraphs,
 joined by commas. A paragraph is the first 16 digits of its node, an equals sign and its leaves of 8 digits each.
@@ -21,12 +21,18 @@ from skylattice.llm.common import cut
 
 #: Up to eight words that end a sentence, else eight words, else the white space that is left.
 PIECE = r"(?:\s*+\S++){1,8}?(?:(?<=[.!?])|$)|(?:\s*+\S++){1,8}|\s++"
+#: A word, or the white space that is left.
+WORD_PIECE = r"\s*+\S++|\s++"
+#: Paragraphs with so many code points have pieces as leaves, those with fewer than twice as many have words: a text that
+#: gets half as long has leaves of one kind in common.
+SHORT = 96
 
 
 def _leaves(paragraph: Column) -> Column:
-    return F.transform(
-        F.regexp_extract_all(paragraph, F.lit(PIECE), F.lit(0)), lambda p: F.shiftright(F.xxhash64(p), 32).cast("int")
-    )
+    none, n = F.array().cast("array<string>"), F.char_length(paragraph)
+    all_of = lambda pattern: F.regexp_extract_all(paragraph, F.lit(pattern), F.lit(0))
+    pieces = F.concat(F.when(n >= SHORT, all_of(PIECE)).otherwise(none), F.when(n < 2 * SHORT, all_of(WORD_PIECE)).otherwise(none))
+    return F.transform(pieces, lambda p: F.shiftright(F.xxhash64(p), 32).cast("int"))
 
 
 def tree(text: Column) -> Column:

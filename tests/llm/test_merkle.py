@@ -1,5 +1,8 @@
 import hashlib
+import random
+import re
 
+import xxhash
 from pyspark.sql import functions as F
 
 from skylattice.llm import merkle
@@ -55,3 +58,50 @@ def test_pieces_make_up_the_paragraph(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     got = rows.select("t", F.array_join(F.regexp_extract_all("t", F.lit(merkle.PIECE), F.lit(0)), "").alias("p")).collect()
     assert all(r["t"] == r["p"] for r in got)
+
+
+def _leaves(paragraph):
+    patterns = [merkle.PIECE] * (len(paragraph) >= merkle.SHORT) + [merkle.WORD_PIECE] * (len(paragraph) < 2 * merkle.SHORT)
+    return [xxhash.xxh64_intdigest(m.group().encode(), 42) >> 32 for p in patterns for m in re.finditer(p, paragraph, re.A)]
+
+
+def _sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _fingerprint(text):
+    """The fingerprint and the set of leaves, written down plainly."""
+    lines, sections = text.split("\n"), []
+    for i, line in enumerate(lines):
+        if i == 0 or line.startswith("#") or lines[i - 1].strip(" ") == "":
+            sections.append([])
+        sections[-1].append(line)
+    nodes = [_sha("".join(_sha(p) for p in s)) for s in sections]
+    inner = lambda s: ",".join(f"{_sha(p)[:16]}={''.join(f'{x:08x}' for x in _leaves(p))}" for p in s)
+    made = _sha("".join(nodes)) + ":" + ";".join(f"{n[:16]}/{inner(s)}" for n, s in zip(nodes, sections))
+    return made, {x for line in lines for x in _leaves(line)}
+
+
+def _dice(a, b):
+    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def test_trees_and_likeness_against_brute_force(spark):
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("abcdé") for _ in range(r.randrange(1, 9)))
+    line = lambda: " ".join(word() + r.choice(["", "", ".", "!"]) for _ in range(r.randrange(0, 40)))
+    texts = ["\n".join(r.choice(["", "# ", "#"]) + line() for _ in range(r.randrange(1, 8))) for _ in range(60)] + ["", "one", "a b. c", "  "]
+    got = {x["doc_id"]: x for x in merkle.edited_fingerprints(docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect()}
+    for i, text in enumerate(texts):
+        other = texts[i - 1]  # the next in descending order; after 0 comes the last
+        half = len(text) // 2
+        edited = text[: len(text) - half] + other[:half]
+        (a, x), (b, y), (_, z) = map(_fingerprint, (text, edited, other))
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (a, b)
+        assert abs(got[i]["near_edited"] - _dice(x, y)) < 1e-12 and abs(got[i]["near_next"] - _dice(x, z)) < 1e-12
+
+
+def test_edits_of_short_texts_stay_alike(spark):
+    texts = ["The cat sat down.", "A bird sang in a tree", "ab cd", "Nobody knew what it was or where it came from at all", "It rains."]
+    for r in merkle.edited_fingerprints(docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect():
+        assert r["near_edited"] > 0.3 and r["near_next"] < r["near_edited"]
