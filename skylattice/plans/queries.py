@@ -6,6 +6,7 @@ Most use one view of ``events`` as items; its arithmetic is the same in both eng
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
 import uuid
 from collections.abc import Callable
@@ -16,11 +17,11 @@ from pyspark.sql import types as T
 
 from skylattice.functions.columns import asset_map, bbox_array, bbox_struct, format_time, parse_time, prune_null_assets, self_href
 from skylattice.functions.geo import bounds_of_wkb, geojson_from_wkb, wkb_from_geojson
-from skylattice.operators import catalog, layout
+from skylattice.operators import catalog, export, layout
 from skylattice.operators.search import bbox_intersects, search
 from skylattice.sources.items import item_texts, parse_items, read_items
 from skylattice.sources.schema import infer
-from skylattice.sources.sinks import sync_partitions, write_item_lines, write_item_parquet
+from skylattice.sources.sinks import read_footers, sync_partitions, write_item_lines, write_item_parquet
 from skylattice.streaming.sync import sync_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -220,10 +221,18 @@ def bbox_3d(spark, sf_dir):
     return items_view(spark, sf_dir).select("id", bbox_struct(box, 6).alias("b")).select("id", "b.*")
 
 
-@query(f"select count(distinct case when k % 2 = 0 then 4 else 6 end) as n_sizes from {_I}")
+@query(f"select 4 as n_flat, 6 as n_solid, 4 as n_without, true as mixed_raises where exists (select 1 from {_I})")
 def bbox_dim_check(spark, sf_dir):
-    box = F.when(F.col("k") % 2 == 0, F.array_repeat(F.lit(0.0), 4)).otherwise(F.array_repeat(F.lit(0.0), 6))
-    return items_view(spark, sf_dir).select(F.size(box).alias("n")).agg(F.count_distinct("n").alias("n_sizes"))
+    items = items_view(spark, sf_dir)
+    boxes = lambda n: items.select(F.array_repeat(F.lit(0.0), n).alias("bbox"))
+    none = items.select(F.lit(None).cast("array<double>").alias("bbox"))
+    try:
+        layout.bbox_size(boxes(4).unionByName(boxes(6)))
+        raises = False
+    except ValueError:
+        raises = True
+    sizes = [layout.bbox_size(x) for x in (boxes(4), boxes(6).unionByName(none), none)]
+    return spark.createDataFrame([(*sizes, raises)], "n_flat int, n_solid int, n_without int, mixed_raises boolean")
 
 
 def _polygon() -> Column:
@@ -236,12 +245,24 @@ def _point() -> Column:
     return F.to_json(F.struct(F.lit("Point").alias("type"), F.array("bbox.xmin", "bbox.ymin").alias("coordinates")))
 
 
-@query()
+def _double_hex(value: str) -> str:
+    """SQL for the little-endian hex of a double that is zero or a normal number."""
+    exponent = f"cast(floor(log2(abs({value}))) as bigint)"
+    sign = f"case when {value} < 0 then 2048 else 0 end"
+    mantissa = f"cast((abs({value}) / pow(2.0, {exponent}) - 1) * 4503599627370496 as bigint)"
+    big = f"case when {value} = 0 then '0000000000000000' else printf('%03X%013X', {exponent} + 1023 + {sign}, {mantissa}) end"
+    return f"list_aggregate(list_transform(range(8), lambda j: substr({big}, cast(15 - 2 * j as bigint), 2)), 'string_agg', '')"
+
+
+_HEX = f"(select id, {', '.join(f'{_double_hex(c)} as {c}' for c in ('xmin', 'ymin', 'xmax', 'ymax'))} from {_I})"
+
+
+@query(f"select id, '0101000000' || xmin || ymin as wkb from {_HEX}")
 def wkb_point_hex(spark, sf_dir):
     return items_view(spark, sf_dir).select("id", F.hex(wkb_from_geojson(_point())).alias("wkb"))
 
 
-@query()
+@query(f"""select id, '01030000000100000005000000' || xmin || ymin || xmax || ymin || xmax || ymax || xmin || ymax || xmin || ymin as wkb from {_HEX}""")
 def wkb_polygon_hex(spark, sf_dir):
     return items_view(spark, sf_dir).select("id", F.hex(wkb_from_geojson(_polygon())).alias("wkb"))
 
@@ -471,18 +492,51 @@ def read_auto(spark, sf_dir):
     return _base(layout.to_table_layout(read_items(spark, path), bbox_numbers=4))
 
 
-@query(f"select id, k from {_I} order by k desc, id limit 25")
+@query(f"select least(25, count(*)) as n, least(25, count(*)) as n_known from {_I}")
 def limit_exact(spark, sf_dir):
-    return items_view(spark, sf_dir).orderBy(F.desc("k"), "id").limit(25).select("id", "k")
+    path = _scratch(spark, "limited")
+    _event_texts(spark, sf_dir).select(F.col("item").alias("value")).write.text(path)
+    found = read_items(spark, path, form="lines", limit=25).select("id")
+    known = items_view(spark, sf_dir).select(F.col("id").alias("known"))
+    return found.join(known, F.col("id") == F.col("known"), "left").agg(F.count("*").alias("n"), F.count_distinct("known").alias("n_known"))
+
+
+def _with_metadata(item: dict) -> dict:
+    item["assets"] = {**(item.get("assets") or {}), "metadata": {"href": f"https://example.com/{item['collection']}/{item['id']}.json"}}
+    return item
 
 
 @query(f"select id, 'https://example.com/' || collection || '/' || id || '.json' as added_href from {_I}")
 def row_func_inject_asset(spark, sf_dir):
-    def inject(df: DataFrame) -> DataFrame:
-        href = F.concat(F.lit("https://example.com/"), "collection", F.lit("/"), "id", F.lit(".json"))
-        return df.withColumn("assets", F.create_map(F.lit("metadata"), F.struct(href.alias("href"))))
+    changed = export.map_items(_event_texts(spark, sf_dir), _with_metadata)
+    return changed.select(F.get_json_object("item", "$.id").alias("id"), F.get_json_object("item", "$.assets.metadata.href").alias("added_href"))
+
 
-    return items_view(spark, sf_dir).transform(inject).select("id", F.col("assets")["metadata"]["href"].alias("added_href"))
+@query(f"""select '1.1.0' as version, 'geometry' as primary_column, 'WKB' as encoding, 4326 as epsg, 'xmin' as covering, true as in_all_files
+where exists (select 1 from {_I})""")
+def item_parquet_footers(spark, sf_dir):
+    path = _scratch(spark, "footers")
+    write_item_parquet(layout.to_table_layout(parse_items(_event_texts(spark, sf_dir)), bbox_numbers=4), path, collections={"click": {"id": "click"}})
+    seen = set(read_footers(path))
+    geo, item = (json.loads(x) for x in next(iter(seen)))
+    geometry = geo["columns"]["geometry"]
+    row = (geo["version"], geo["primary_column"], geometry["encoding"], geometry["crs"]["id"]["code"], geometry["covering"]["bbox"]["xmin"][1],
+           len(seen) == 1 and item["collections"] == {"click": {"id": "click"}})
+    return spark.createDataFrame([row], "version string, primary_column string, encoding string, epsg int, covering string, in_all_files boolean")
+
+
+@query(f"select id, k, xmin, ymin, collection from {_I}")
+def catalog_sync_files(spark, sf_dir):
+    path = _scratch(spark, "catalog-sync")
+    rows = items_view(spark, sf_dir).select(
+        "id", F.hex(wkb_from_geojson(_point())).alias("geometry"), "collection", "datetime", F.lit(None).cast("timestamp").alias("end_datetime"),
+        F.to_json(F.struct(F.struct(F.date_format("datetime", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("datetime"), "k").alias("properties"))).alias("content"),
+    )
+    base = '{"type": "Feature", "stac_version": "1.0.0", "properties": {"k": -1}}'
+    bases = items_view(spark, sf_dir).select("collection").distinct().withColumn("base", F.lit(base))
+    export.catalog_sync(spark, rows, _partitions(spark, sf_dir), path, bases=bases)
+    written = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    return written.select("id", F.col("k").cast("bigint").alias("k"), "bbox.xmin", "bbox.ymin", "collection")
 
 
 @query(f"select collection, count(*) as n_items, cast(count(*) as integer) as n_features from {_I} group by collection")

@@ -268,6 +268,15 @@ def read_item_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_footers(path: str, item_key: str = ITEM_KEY) -> Iterator[tuple[bytes | None, bytes | None]]:
+    """The ``geo`` and item metadata of each Parquet file below a folder."""
+    fs, root = resolve_path(path)
+    for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)):
+        if f.is_file and f.base_name.endswith(".parquet"):
+            found = pq.read_metadata(f.path, filesystem=fs).metadata or {}
+            yield found.get(b"geo"), found.get(item_key.encode())
+
+
 def sync_partitions(items: DataFrame, partitions: DataFrame, path: str, **write: Any) -> list[str]:
     """Writes the items of changed partitions, one item Parquet file each: ``<collection>/<file>``; other files stay.
 

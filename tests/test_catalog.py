@@ -90,3 +90,35 @@ def test_flagship_on_items(spark):
     found = sky.search(table, "scenes", dt.datetime(2024, 6, 1, tzinfo=dt.timezone.utc), dt.datetime(2024, 7, 1, tzinfo=dt.timezone.utc),
                        (10, 45, 11, 46), where=F.col("`eo:cloud_cover`") < 20)
     assert [r["id"] for r in found.collect()] == ["scene-1"]
+
+
+def test_connection_strings():
+    end = "options='-c search_path=public'"
+    assert dsn(None) == dsn("") == end
+    assert dsn("host=h  port = 5432 password='a b\\'c'") == f"host=h port=5432 password='a b\\'c' {end}"
+    assert dsn("postgresql://u:p%40w@h:5433/db?sslmode=require") == f"user=u password=p@w host=h port=5433 dbname=db sslmode=require {end}"
+    assert dsn("postgres://[::1]:5/x,y") == f"host=::1 port=5 dbname=x,y {end}"
+    assert dsn("postgresql://a:1,b:2/db").startswith("host=a,b port=1,2 dbname=db")
+    assert dsn("options='-c a=b' host=x", "s,public", 5) == "host=x options='-c a=b -c search_path=s,public -c statement_timeout=5'"
+    for wrong in ("host", "host='x", "=x"):
+        with pytest.raises(ValueError):
+            dsn(wrong)
+
+
+def test_catalog_sync(spark, tmp_path):
+    from skylattice.sources.sinks import read_footers
+
+    day = lambda n: dt.datetime(2024, 1, n, tzinfo=dt.timezone.utc)
+    content = json.dumps({"properties": {"datetime": "2024-01-02T00:00:00Z", "n": 1}, "assets": {}, "links": [], "stac_version": "1.0.0"})
+    rows = spark.createDataFrame(
+        [(f"i{n}", "0101000000000000000000F03F0000000000000040", "c", day(2), None, content) for n in range(3)],
+        "id string, geometry string, collection string, datetime timestamp, end_datetime timestamp, content string",
+    )
+    parts = spark.createDataFrame(
+        [("c", None, None, None, None, day(3))], "collection string, lower timestamp, upper timestamp, first timestamp, last timestamp, last_updated timestamp"
+    )
+    path = str(tmp_path / "out")
+    change = lambda item: {**item, "properties": {**item["properties"], "n": 2}}
+    assert sky.catalog_sync(spark, rows, parts, path, change=change) == [f"{path}/c/items.parquet"]
+    assert [r["n"] for r in spark.read.parquet(f"{path}/c/items.parquet").collect()] == [2, 2, 2]
+    assert len(list(read_footers(path))) == 1 and sky.catalog_sync(spark, rows, parts, path, updated_after=day(9)) == []

@@ -1,9 +1,12 @@
+import json
 import math
+import random
 import struct
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from skylattice.functions.geo import bounds, bounds_of_wkb, decode, encode, geojson_from_wkb, wkb_from_geojson
 
@@ -68,3 +71,24 @@ def test_columns(spark):
     out = rows.select(geojson_from_wkb(wkb_from_geojson("g")).alias("g"), bounds_of_wkb(wkb_from_geojson("g")).alias("b")).collect()
     assert out[0]["g"] == '{"type":"Point","coordinates":[1.0,2.0]}' and out[0]["b"]["xmax"] == 1.0
     assert out[1]["g"] is None and out[2]["b"] is None
+
+
+def test_batches_against_each_geometry(spark):
+    """Points and plain polygons are coded by the batch; the result is that of each geometry alone."""
+    r = random.Random(4)
+    number = lambda: r.choice([0, -0.0, 1, -7.25, 1e300, 5e-324, r.uniform(-180, 180), r.randrange(-90, 90)])
+    made = [None, {"type": "Point", "coordinates": []}, {"type": "Point", "coordinates": [1, 2, 3]}, {"type": "MultiPolygon", "coordinates": [[[]], [[[0, 0], [1, 1], [0, 0]]], []]}]
+    for _ in range(200):
+        ring = [[number(), number()] for _ in range(r.randrange(0, 5))]
+        made += [{"type": "Point", "coordinates": [number(), number()]}, {"coordinates": [ring], "type": "Polygon"}, {"type": "Polygon", "coordinates": [ring, ring]}]
+    rows = [(i, None if g is None else json.dumps(g)) for i, g in enumerate(made)]
+    wkb = wkb_from_geojson(F.col("t"))
+    frame = spark.createDataFrame(rows, "i int, t string").coalesce(1)
+    got = frame.select("i", wkb.alias("w"), geojson_from_wkb(wkb).alias("back"), bounds_of_wkb(wkb).alias("b")).collect()
+    for x in got:
+        data = encode(made[x["i"]])
+        assert (x["w"] and bytes(x["w"])) == data
+        assert (x["back"] and json.loads(x["back"])) == decode(data)
+        assert (x["b"] and tuple(x["b"])) == bounds(data)
+    assert decode(encode(made[3]))["coordinates"] == [[[[0.0, 0.0], [1.0, 1.0], [0.0, 0.0]]]]
+    assert bytes(frame.where("i = 4").select(wkb.alias("w")).first()["w"])[:1] == b"\x01"
