@@ -28,6 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{os.path.join(tempfile.gettempdir(), 'skylattice-shared')}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder that this library wrote."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and goes on from those files, so that lost executors cost no earlier work."""
     context = df.sparkSession.sparkContext

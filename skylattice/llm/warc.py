@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skylattice.llm.common import cut, shared_dir
+from skylattice.llm.common import cut, remove, shared_dir
 
 FILE_BYTES = 32 << 20
 #: Groups of equal payloads that go to every task; beyond, they are joined by a shuffle.
@@ -292,5 +292,4 @@ def round_trip(pages: DataFrame, min_bytes: int = 0, file_bytes: int = FILE_BYTE
         write_archives(pages, path, min_bytes, file_bytes)
         return cut(read_archives(spark, path))
     finally:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        remove(spark, path)
