@@ -96,6 +96,10 @@ def _trigrams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]
         at = end
 
 
+#: Languages whose trigrams a task counts before it bundles them.
+HELD_LANGUAGES = 64
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is never learned from: crc32 of its id as text leaves 1 when divided by 3; null ids don't."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -104,11 +108,16 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS, max_languages: int = 500) -> tuple[list[str], np.ndarray]:
     """Languages in order and their prototypes, from all documents with a language that aren't held out.
 
-    Each task bundles its rows into one vector a language; the driver gets ``dimensions`` numbers for each of at most
-    ``max_languages`` languages.
+    Each task bundles its rows into one vector a language, counting ``HELD_LANGUAGES`` at a time; bundles add up. The
+    driver gets ``dimensions`` numbers for each of at most ``max_languages`` languages; more raise, as every task holds
+    a prototype of each.
     """
     rows = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
 
+    def bundled(counts: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+        for lang, held in counts.items():
+            yield pd.DataFrame({"lang": lang, "at": np.arange(dimensions), "value": bundle(held, dimensions)})
+
     def bundles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -116,10 +125,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 held = counts.setdefault(lang, np.zeros(LETTERS**3, np.int64))
                 for grams, _ in _trigrams(part["text"].tolist()):
                     held += np.bincount(grams, minlength=LETTERS**3)
-                if len(counts) > max_languages:
-                    raise ValueError(f"over {max_languages} languages")
-        for lang, held in counts.items():
-            yield pd.DataFrame({"lang": lang, "at": np.arange(dimensions), "value": bundle(held, dimensions)})
+            if len(counts) > HELD_LANGUAGES:
+                yield from bundled(counts)
+                counts.clear()
+        yield from bundled(counts)
 
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("at", T.IntegerType()), T.StructField("value", T.DoubleType())])
     summed = (

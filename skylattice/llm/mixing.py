@@ -111,7 +111,8 @@ def mix(
 def mixed(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that the mix takes words of, all their columns kept, with ``taken``.
 
-    Rows that repeat an id and size each get the most that any of them does. See ``mix``.
+    A column ``taken`` of the documents gives way to it. Rows that repeat an id and size each get the most that any of
+    them does. See ``mix``.
     """
     found = mix(docs, quality, id_col=id_col, text_col=text_col, **options)
     taken = found.groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max("taken").alias("taken")).where("taken > 0")
