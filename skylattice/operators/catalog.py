@@ -51,19 +51,20 @@ def merge_json(base: Column, item: Column, unset: str | None = None) -> Column:
     return merged(base, item)
 
 
-#: Keys of a row's content that become keys of the item; others are left out.
+#: Keys of a row's content that become keys of the item; of a base item all keys do.
 CONTENT_KEYS = ("stac_version", "stac_extensions", "bbox", "links", "assets", "properties")
 #: Base items up to this many are sent to every task.
 BROADCAST_BASES = 10_000
 
 
-def hydrate(rows: DataFrame, bases: DataFrame | None = None, unset: str | None = None) -> DataFrame:
+def hydrate(rows: DataFrame, bases: DataFrame | None = None, unset: str | None = None, more: str | None = None) -> DataFrame:
     """Rows with ``content`` completed by their collection's base item (``collection``, ``base``: JSON).
 
-    A collection without a base item raises when its rows are read.
+    A collection without a base item raises when its rows are read. ``more``: a column for the base item's other keys, as
+    JSON; null without base items.
     """
     if bases is None:
-        return rows
+        return rows if more is None else rows.withColumn(more, F.lit(None).cast("string"))
     known = bases.select(F.col("collection").alias("__collection"), F.col("base").alias("__base"))
     if known.limit(BROADCAST_BASES + 1).count() <= BROADCAST_BASES:
         known = F.broadcast(known)
@@ -71,6 +72,10 @@ def hydrate(rows: DataFrame, bases: DataFrame | None = None, unset: str | None =
     base = F.when(F.col("__base").isNotNull(), F.col("__base")).otherwise(
         F.raise_error(F.concat(F.lit("no base item for collection "), F.coalesce("collection", F.lit("null"))))
     )
+    if more is not None:
+        own = ("type", "id", "collection", "geometry", *CONTENT_KEYS)
+        others = F.map_filter(F.from_json("__base", "map<string,variant>"), lambda k, _: ~k.isin(*own))
+        joined = joined.withColumn(more, F.to_json(others))
     return joined.withColumn("content", merge_json(base, F.col("content"), unset)).drop("__collection", "__base")
 
 
@@ -78,15 +83,17 @@ def rows_to_item_texts(rows: DataFrame, bases: DataFrame | None = None, unset: s
     """One JSON text an item, in ``item``; the box is the content's, or the bounds of the geometry."""
     wkb = F.unhex("geometry")
     part = lambda k: F.variant_get(F.parse_json("content"), f"$.{k}", "variant")
-    made = hydrate(rows, bases, unset).withColumn("__box", bounds_of_wkb(wkb))
+    made = hydrate(rows, bases, unset, "__more").withColumn("__box", bounds_of_wkb(wkb))
     box = F.coalesce(part("bbox"), F.when(F.col("__box").isNotNull(), F.parse_json(F.to_json(F.array(*[F.col(f"__box.{n}") for n in ("xmin", "ymin", "xmax", "ymax")])))))
     fields = [
         F.lit("Feature").alias("type"), "id", "collection", F.parse_json(geojson_from_wkb(wkb)).alias("geometry"), box.alias("bbox"),
         *[part(k).alias(k) for k in CONTENT_KEYS if k != "bbox"],
     ]
-    shaped = made.select(*fields)
+    shaped = made.select(*fields, "__more")
     # Keys that the content doesn't have stay away.
-    return shaped.select(F.to_json(F.struct("*")).alias("item"))
+    item, more = F.to_json(F.struct(*[c for c in shaped.columns if c != "__more"])), F.col("__more")
+    whole = F.concat(F.substring(item, F.lit(1), F.char_length(item) - 1), F.lit(","), F.substring(more, 2, 1 << 30))
+    return shaped.select(F.when(more.isNull() | (more == "{}"), item).otherwise(whole).alias("item"))
 
 
 def catalog_rows(

@@ -122,3 +122,14 @@ def test_catalog_sync(spark, tmp_path):
     assert sky.catalog_sync(spark, rows, parts, path, change=change) == [f"{path}/c/items.parquet"]
     assert [r["n"] for r in spark.read.parquet(f"{path}/c/items.parquet").collect()] == [2, 2, 2]
     assert len(list(read_footers(path))) == 1 and sky.catalog_sync(spark, rows, parts, path, updated_after=day(9)) == []
+
+
+def test_all_keys_of_a_base_item(spark):
+    rows = spark.createDataFrame(
+        [("i", "0101000000000000000000F03F0000000000000040", c, '{"properties": {"k": 1}, "mine": 1}') for c in ("a", "b")],
+        "id string, geometry string, collection string, content string",
+    )
+    bases = spark.createDataFrame([("a", '{"type": "Feature", "extra": {"x": [1, "y"]}, "note": null, "properties": {"z": 2}}'), ("b", '{"properties": {}}')], "collection string, base string")
+    got = {x["collection"]: x for x in (json.loads(r["item"]) for r in rows_to_item_texts(rows, bases).collect())}
+    assert got["a"]["extra"] == {"x": [1, "y"]} and got["a"]["properties"] == {"k": 1, "z": 2} and "mine" not in got["a"]
+    assert set(got["b"]) == {"type", "id", "collection", "geometry", "bbox", "properties"}
