@@ -16,8 +16,7 @@ prune the pairs before the full Hamming check. Two settings of this:
 * Likeness of 0.8 (``deduplicated``): sets of five words, of which pairs differ in about 15 % of the bits. No chain of a
   useful length has the budget 0 there, so this takes long fingerprints, with so many segments that a pair shares some
   of them (``ring_of``). Recall isn't exact but computed and measured. What meets under a key isn't paired out: all are
-  checked against one of them, the lead, and components made; what is still apart from the lead's component is tried
-  against some more of its members; then all that is still apart is checked, and only that.
+  checked against one of them, the lead, and components made; then what is still apart is checked, and only that.
 """
 
 from __future__ import annotations
@@ -38,8 +37,6 @@ SEED = 42
 SHINGLE, DIFFER, AT_ALIKE = 5, 0.165, 0.1515
 #: Bits and number of segments for up to 2^17 texts; for more the bits grow with their logarithm.
 WIDTH, SEGMENTS = 20, 80
-#: Members of the lead's component that the rest of a key is tried against before all of them are.
-TRIES = 8
 _CHUNK = 1 << 16
 _BLOCK = 1 << 13
 _LANES = np.uint64(0x0101010101010101)
@@ -293,23 +290,8 @@ def long_components(classes: DataFrame, width: int, segments: int, words: int) -
     labels = cut(connected_components(stars))
     # Two of a key have met each other. Of the others those are left that aren't connected with the lead.
     crowd = met.where("n > 2").select("start", "key", "ck", "ring", "lead")
-
-    def split() -> tuple[DataFrame, DataFrame]:
-        """The crowd with labels, and the part of it that isn't in the component of its lead."""
-        rows = cut(_labelled(_labelled(crowd, labels, "ck", "label"), labels, "lead", "lead_label"))
-        return rows, rows.where("label <> lead_label")
-
-    def joined(more: DataFrame) -> DataFrame:
-        return cut(_raised(labels, connected_components(more.select(F.col("in_u").alias("u"), F.col("in_v").alias("v")))))
-
-    rows, rest = split()
-    drawn = [F.min(F.struct(F.xxhash64("ck", F.lit(n)).alias("rank"), "ck", "ring")) for n in range(1, TRIES + 1)]
-    tried = rows.where("label = lead_label").join(rest.select("start", "key").distinct(), ["start", "key"], "left_semi")
-    tried = tried.groupBy("start", "key").agg(F.array(*drawn).alias("drawn")).select("start", "key", F.explode(F.array_distinct("drawn")).alias("d"))
-    some = rest.join(tried, ["start", "key"]).withColumn("ring_v", F.col("d.ring")).where(_kept_in("ring", "ring_v", width))
-    some = some.select(F.col("ck").alias("u"), F.col("d.ck").alias("v"), F.col("label").alias("in_u"), F.col("lead_label").alias("in_v"))
-    labels = joined(_within(some.distinct(), classes, words))
-    rows, rest = split()
+    rows = cut(_labelled(_labelled(crowd, labels, "ck", "label"), labels, "lead", "lead_label"))
+    rest = rows.where("label <> lead_label")
     # Here a pair may be far apart and yet keep to the chains, so the whole fingerprints are compared inside the join.
     a = rows.join(rest.select("start", "key").distinct(), ["start", "key"], "left_semi")
     a = a.select("start", "key", F.col("ck").alias("u"), F.col("ring").alias("ring_u"), F.col("label").alias("in_u"), "lead_label")
@@ -320,7 +302,8 @@ def long_components(classes: DataFrame, width: int, segments: int, words: int) -
         & _kept_in("ring_u", "ring_v", width)
         & _alike(words)
     )
-    labels = joined(apart)
+    above = connected_components(apart.select(F.col("in_u").alias("u"), F.col("in_v").alias("v")))
+    labels = _raised(labels, above)
     return _labelled(classes.select("ck", "first_id"), labels, "ck", "label").select("ck", "first_id", "label")
 
 
