@@ -67,8 +67,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     goes on with the graph of the images. A constant share of the vertices goes in each round whatever the shape, so
     the rounds grow with the logarithm of the largest component. Nothing but a count reaches the driver.
     """
-    ends = edges.where("u is not null and v is not null and u <> v").select("u", "v")
-    graph = cut(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    ends = edges.where("u is not null and v is not null and u <> v")
+    # Both directions of a row, not a union, for which Spark would work out the edges twice.
+    both = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    graph = cut(ends.select(F.explode(both).alias("end")).select("end.u", "end.v").distinct())
     maps: list[DataFrame] = []
     for round_no in range(max_rounds):
         if graph.isEmpty():

@@ -97,6 +97,19 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_edges_are_worked_out_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    edges = spark.range(50).selectExpr("id AS u", "id + 1 AS v").mapInPandas(counted, "u long, v long")
+    assert len({x["label"] for x in connected_components(edges).collect()}) == 1
+    assert read.value == 50
+
+
 def test_deduplicated(spark):
     out = simhash.deduplicated(docs(spark)).collect()
     texts = [x["text"] for x in out]
