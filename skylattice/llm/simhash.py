@@ -244,13 +244,13 @@ def _alike(words: int) -> Column:
     return differing <= int(words * 64 * DIFFER)
 
 
-def _with_print(rows: DataFrame, classes: DataFrame, side: str) -> DataFrame:
-    return rows.join(classes.select(F.col("ck").alias(side), F.col("fp").alias(f"fp_{side}")), side)
+def _with_print(rows: DataFrame, classes: DataFrame, more: list[Column]) -> DataFrame:
+    """``ck``, ``fp`` and ``more`` of each distinct row; the rows of a class are gathered, so it is joined once.
 
-
-def _within(pairs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """The pairs (``u``, ``v``, other columns) whose fingerprints differ in few enough bits."""
-    return _with_print(_with_print(pairs, classes, "u"), classes, "v").where(_alike(words)).drop("fp_u", "fp_v")
+    A class has a row for each segment at most, which bounds what is gathered.
+    """
+    held = rows.groupBy("ck").agg(F.collect_set(F.struct(*more)).alias("held"))
+    return held.join(classes.select("ck", "fp"), "ck").select("ck", "fp", F.explode("held").alias("x")).select("ck", "fp", "x.*")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, vertex: str, name: str) -> DataFrame:
@@ -258,11 +258,11 @@ def _labelled(rows: DataFrame, labels: DataFrame, vertex: str, name: str) -> Dat
     return rows.join(known, vertex, "left").withColumn(name, F.coalesce(name, vertex))
 
 
-def _raised(labels: DataFrame, above: DataFrame) -> DataFrame:
-    """``labels`` (``vertex``, ``label``) after the components of the labels themselves (``above``, likewise)."""
-    higher = above.select(F.col("vertex").alias("label"), F.col("label").alias("top"))
-    known = labels.join(higher, "label", "left").select("vertex", F.coalesce("top", "label").alias("label"))
-    return known.unionByName(above.join(labels.select("vertex"), "vertex", "left_anti"))
+def _with_partner(rows: DataFrame, others: DataFrame, width: int) -> DataFrame:
+    """The rows that share a key with one of ``others`` that has another label and keeps to the chains with them."""
+    others = others.select(*(F.col(c).alias(f"{c}_o") for c in ("start", "key", "ring", "label")))
+    same = (F.col("start") == F.col("start_o")) & (F.col("key") == F.col("key_o"))
+    return rows.join(others, same & (F.col("label") != F.col("label_o")) & _kept_in("ring", "ring_o", width), "left_semi")
 
 
 def long_components(classes: DataFrame, width: int, segments: int, words: int) -> DataFrame:
@@ -286,25 +286,30 @@ def long_components(classes: DataFrame, width: int, segments: int, words: int) -
     leads = leads.select("start", "key", "n", F.col("head.ck").alias("lead"), F.col("head.ring").alias("lead_ring"))
     near = (F.col("ck") != F.col("lead")) & _kept_in("ring", "lead_ring", width)
     met = cut(ring.join(leads, ["start", "key"]).where((F.col("n") > 2) | near))
-    stars = _within(met.where(near).select(F.col("lead").alias("u"), F.col("ck").alias("v")).distinct(), classes, words)
+    stars = _with_print(met.where(near), classes, [F.col("lead").alias("u")])
+    stars = stars.withColumnsRenamed({"ck": "v", "fp": "fp_v"}).join(classes.select(F.col("ck").alias("u"), F.col("fp").alias("fp_u")), "u")
+    stars = stars.where(_alike(words)).select("u", "v")
     labels = cut(connected_components(stars))
     # Two of a key have met each other. Of the others those are left that aren't connected with the lead.
     crowd = met.where("n > 2").select("start", "key", "ck", "ring", "lead")
     rows = cut(_labelled(_labelled(crowd, labels, "ck", "label"), labels, "lead", "lead_label"))
     rest = rows.where("label <> lead_label")
+    # Only rows that keep to the chains with one of another label get their fingerprint.
+    open_, rest = _with_partner(rows, rest, width), _with_partner(rest, rows, width)
     # Here a pair may be far apart and yet keep to the chains, so the whole fingerprints are compared inside the join.
-    a = rows.join(rest.select("start", "key").distinct(), ["start", "key"], "left_semi")
-    a = a.select("start", "key", F.col("ck").alias("u"), F.col("ring").alias("ring_u"), F.col("label").alias("in_u"), "lead_label")
-    b = rest.select("start", "key", F.col("ck").alias("v"), F.col("ring").alias("ring_v"), F.col("label").alias("in_v"))
-    apart = _with_print(a, classes, "u").join(_with_print(b, classes, "v"), ["start", "key"]).where(
+    side = lambda x: [F.col(c) for c in ("start", "key", "lead_label")] + [F.col("ring").alias(f"ring_{x}"), F.col("label").alias(f"in_{x}")]
+    a = _with_print(open_, classes, side("u")).withColumnsRenamed({"ck": "u", "fp": "fp_u"})
+    b = _with_print(rest, classes, side("v")).withColumnsRenamed({"ck": "v", "fp": "fp_v"}).drop("lead_label")
+    apart = a.join(b, ["start", "key"]).where(
         (F.col("in_u") != F.col("in_v"))
         & ((F.col("in_u") == F.col("lead_label")) | (F.col("u") < F.col("v")))
         & _kept_in("ring_u", "ring_v", width)
         & _alike(words)
     )
     above = connected_components(apart.select(F.col("in_u").alias("u"), F.col("in_v").alias("v")))
-    labels = _raised(labels, above)
-    return _labelled(classes.select("ck", "first_id"), labels, "ck", "label").select("ck", "first_id", "label")
+    # Components of the labels: that of a class's label, or the label itself where it is linked to no other.
+    low = _labelled(classes.select("ck", "first_id"), labels, "ck", "label")
+    return _labelled(low, above, "label", "top").select("ck", "first_id", F.col("top").alias("label"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -215,6 +216,39 @@ def test_crowded_keys_against_one_key(spark):
     assert sorted(x["doc_id"] for x in simhash.deduplicated(rows).collect()) == sorted(least.values())
 
 
+def _made_by_joins(spark, run):
+    """The result of ``run``, and the rows that its inner joins by ``u``, ``v`` or ``ck`` made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    before, rows = {e.executionId() for e in _each(store.executionsList())}, 0
+    result = run()
+    bus.waitUntilEmpty(30_000)
+    for e in _each(store.executionsList()):
+        if e.executionId() not in before:
+            values = store.executionMetrics(e.executionId())
+            for node in _each(store.planGraph(e.executionId()).allNodes()):
+                if re.search(r"Join \[(u|v|ck)#\S+, \[\w+#\S+, Inner", node.desc()):
+                    for m in _each(node.metrics()):
+                        if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                            rows += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return result, rows
+
+
+def _each(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def test_fingerprints_are_joined_by_class(spark):
+    """Texts of a loose group share many keys and aren't all alike; fingerprints aren't joined once for each key and text."""
+    r = random.Random(3)
+    words = [f"w{r.randrange(5000)}" for _ in range(300)]
+    texts = [_edited(r, words, r.choice([2, 4, 6, 8, 10])) for _ in range(120)]
+    rows = docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts)], clash=False)
+    kept, made = _made_by_joins(spark, lambda: simhash.deduplicated(rows).count())
+    assert 1 < kept < 120 and made < 50 * 120
+
+
 def test_width_follows_the_texts():
     assert simhash.ring_of(0) == simhash.ring_of(130_000) == (20, 80, 25)
     for n in (10**6, 10**9, 10**11):
