@@ -42,6 +42,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join by shuffle, whatever its size: the driver builds no table of it, which would grow with the input."""
+    return df.hint("merge")
+
+
 #: Up to so many ids are broadcast: 8 bytes each, about 40 MB as a hash table.
 BROADCAST_IDS = 1_000_000
 
@@ -54,6 +59,8 @@ def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     gone = cut(gone.toDF("__gone"))
     if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
+    else:
+        gone = shuffled(gone)
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
 
 
@@ -65,7 +72,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 
     Each round maps every vertex to the neighbour (or itself) with the smallest hash, another hash each round, and
     goes on with the graph of the images. A constant share of the vertices goes in each round whatever the shape, so
-    the rounds grow with the logarithm of the largest component. Nothing but a count reaches the driver.
+    the rounds grow with the logarithm of the largest component. Nothing but a count reaches the driver: no join broadcasts.
     """
     ends = edges.where("u is not null and v is not null and u <> v")
     # Both directions of a row, not a union, for which Spark would work out the edges twice.
@@ -85,8 +92,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         left = step.select("u", F.col("to").alias("a"))
         right = step.select(F.col("u").alias("v"), F.col("to").alias("b"))
         graph = cut(
-            graph.join(left, "u")
-            .join(right, "v")
+            graph.join(shuffled(left), "u")
+            .join(shuffled(right), "v")
             .where("a <> b")
             .select(F.col("a").alias("u"), F.col("b").alias("v"))
             .distinct()
@@ -98,5 +105,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     labels = maps[-1]
     for step in reversed(maps[:-1]):
         later = labels.select(F.col("u").alias("to"), F.col("to").alias("last"))
-        labels = step.join(later, "to", "left").select("u", F.coalesce("last", "to").alias("to"))
+        labels = step.join(shuffled(later), "to", "left").select("u", F.coalesce("last", "to").alias("to"))
     return labels.select(F.col("u").alias("vertex"), F.col("to").alias("label"))

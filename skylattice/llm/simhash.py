@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skylattice.llm.common import connected_components, cut, without_ids
+from skylattice.llm.common import connected_components, cut, shuffled, without_ids
 
 SEED = 42
 #: The likeness that long fingerprints are made for, the share of bits that may differ, and the share that differs at 0.8.
@@ -250,19 +250,19 @@ def _with_print(rows: DataFrame, classes: DataFrame, more: list[Column]) -> Data
     A class has a row for each segment at most, which bounds what is gathered.
     """
     held = rows.groupBy("ck").agg(F.collect_set(F.struct(*more)).alias("held"))
-    return held.join(classes.select("ck", "fp"), "ck").select("ck", "fp", F.explode("held").alias("x")).select("ck", "fp", "x.*")
+    return held.join(shuffled(classes.select("ck", "fp")), "ck").select("ck", "fp", F.explode("held").alias("x")).select("ck", "fp", "x.*")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, vertex: str, name: str) -> DataFrame:
     known = labels.select(F.col("vertex").alias(vertex), F.col("label").alias(name))
-    return rows.join(known, vertex, "left").withColumn(name, F.coalesce(name, vertex))
+    return rows.join(shuffled(known), vertex, "left").withColumn(name, F.coalesce(name, vertex))
 
 
 def _with_partner(rows: DataFrame, others: DataFrame, width: int) -> DataFrame:
     """The rows that share a key with one of ``others`` that has another label and keeps to the chains with them."""
     others = others.select(*(F.col(c).alias(f"{c}_o") for c in ("start", "key", "ring", "label")))
     same = (F.col("start") == F.col("start_o")) & (F.col("key") == F.col("key_o"))
-    return rows.join(others, same & (F.col("label") != F.col("label_o")) & _kept_in("ring", "ring_o", width), "left_semi")
+    return rows.join(shuffled(others), same & (F.col("label") != F.col("label_o")) & _kept_in("ring", "ring_o", width), "left_semi")
 
 
 def long_components(classes: DataFrame, width: int, segments: int, words: int) -> DataFrame:
@@ -285,9 +285,9 @@ def long_components(classes: DataFrame, width: int, segments: int, words: int) -
     leads = ring.groupBy("start", "key").agg(F.min(order).alias("head"), F.count("*").alias("n")).where("n > 1")
     leads = leads.select("start", "key", "n", F.col("head.ck").alias("lead"), F.col("head.ring").alias("lead_ring"))
     near = (F.col("ck") != F.col("lead")) & _kept_in("ring", "lead_ring", width)
-    met = cut(ring.join(leads, ["start", "key"]).where((F.col("n") > 2) | near))
+    met = cut(ring.join(shuffled(leads), ["start", "key"]).where((F.col("n") > 2) | near))
     stars = _with_print(met.where(near), classes, [F.col("lead").alias("u")])
-    stars = stars.withColumnsRenamed({"ck": "v", "fp": "fp_v"}).join(classes.select(F.col("ck").alias("u"), F.col("fp").alias("fp_u")), "u")
+    stars = stars.withColumnsRenamed({"ck": "v", "fp": "fp_v"}).join(shuffled(classes.select(F.col("ck").alias("u"), F.col("fp").alias("fp_u"))), "u")
     stars = stars.where(_alike(words)).select("u", "v")
     labels = cut(connected_components(stars))
     # Two of a key have met each other. Of the others those are left that aren't connected with the lead.
@@ -300,7 +300,7 @@ def long_components(classes: DataFrame, width: int, segments: int, words: int) -
     side = lambda x: [F.col(c) for c in ("start", "key", "lead_label")] + [F.col("ring").alias(f"ring_{x}"), F.col("label").alias(f"in_{x}")]
     a = _with_print(open_, classes, side("u")).withColumnsRenamed({"ck": "u", "fp": "fp_u"})
     b = _with_print(rest, classes, side("v")).withColumnsRenamed({"ck": "v", "fp": "fp_v"}).drop("lead_label")
-    apart = a.join(b, ["start", "key"]).where(
+    apart = a.join(shuffled(b), ["start", "key"]).where(
         (F.col("in_u") != F.col("in_v"))
         & ((F.col("in_u") == F.col("lead_label")) | (F.col("u") < F.col("v")))
         & _kept_in("ring_u", "ring_v", width)
@@ -326,11 +326,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = cut(prints.groupBy("ck").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp")))
     member = cut(long_components(classes, width, segments, words))
     least = member.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    members = cut(member.join(least, "label").select("ck", "label", "component_id"))
+    members = cut(member.join(shuffled(least), "label").select("ck", "label", "component_id"))
     kept = members.where("component_id is not null").select("component_id").distinct()
-    found = prints.where("doc_id is not null").select("doc_id", "ck").join(members.select("ck", "component_id"), "ck")
+    found = prints.where("doc_id is not null").select("doc_id", "ck").join(shuffled(members.select("ck", "component_id")), "ck")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    gone = gone.join(kept, gone["doc_id"] == kept["component_id"], "left_anti")
+    gone = gone.join(shuffled(kept), gone["doc_id"] == kept["component_id"], "left_anti")
     out = without_ids(docs.where(F.col(id_col).isNotNull()), gone, id_col)
     ids = prints.where("doc_id is not null").groupBy("doc_id").count()
     if not ids.where("count > 1").isEmpty():
@@ -339,4 +339,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return out
     nameless = docs.where(F.col(id_col).isNull()).withColumn("__ck", mark)
     alone = members.where("component_id is null").select(F.col("ck").alias("__ck"), F.col("label").alias("__label"))
-    return out.unionByName(nameless.join(alone, "__ck").dropDuplicates(["__label"]).drop("__ck", "__label"))
+    return out.unionByName(nameless.join(shuffled(alone), "__ck").dropDuplicates(["__label"]).drop("__ck", "__label"))

@@ -235,6 +235,23 @@ def _made_by_joins(spark, run):
     return result, rows
 
 
+def test_joins_do_not_broadcast(spark, monkeypatch):
+    """Tables that grow with the texts don't go through the driver; without the ids that go, which are bounded, nothing does."""
+    monkeypatch.setattr("skylattice.llm.common.BROADCAST_IDS", 0)
+    r = random.Random(4)
+    words = [f"w{r.randrange(5000)}" for _ in range(300)]
+    texts = [_edited(r, words, r.choice([2, 6, 10])) for _ in range(60)]
+    rows = docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts)], clash=False)
+    store = spark._jsparkSession.sharedState().statusStore()
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    before = {e.executionId() for e in _each(store.executionsList())}
+    assert 1 <= simhash.deduplicated(rows).count() < 60
+    bus.waitUntilEmpty(30_000)
+    plans = [e.physicalPlanDescription() for e in _each(store.executionsList()) if e.executionId() not in before]
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
+
+
 def _each(seq):
     return [seq.apply(i) for i in range(seq.size())]
 
